@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, sharding, simhash
+from . import bpe, exact, mixing, quality, secret_scan, sharding, simhash, warc
 from .common import read_table
 
 
@@ -18,21 +19,42 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_table(spark, sf_dir, "documents")).drop("at", "rank")
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
         op2_source_mixing,
+        op4_warc_round_trip,
+        op5_byte_bpe,
         op6_extendible_sharding,
+        op7_quality_rules,
         op9_exact_dedup,
+        op10_secret_scan,
     )
 }
 
@@ -66,6 +88,14 @@ SELECT doc_id, size, source_size, target, taken,
        round(CASE WHEN taken > 0 THEN CASE WHEN target <= 0 THEN 0.0
              ELSE 2 * (w_at / target) / (o + sqrt(greatest(o * o + 2 * slope * (w_at / target), 0.0))) END END, 6) AS position
 FROM took""",
+    "op4_warc_round_trip": r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS held FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 1000 OR held = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 1000 OR held = page_id THEN NULL ELSE held END AS refers_to, true AS complete
+FROM h""",
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
