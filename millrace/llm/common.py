@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: ASCII white space, as a regular-expression class body and as bytes.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -15,6 +17,7 @@ WORD_PATTERN = f"[^{SPACE_CLASS}]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

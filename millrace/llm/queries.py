@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, mixing, quality, secret_scan, sharding, simhash, warc
+from . import bpe, exact, langid, mixing, quality, secret_scan, sharding, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_table(spark, sf_dir, "documents")).drop("at", "rank")
 
 
+def op3_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -36,6 +40,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
@@ -49,10 +57,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_near_dedup,
         op2_source_mixing,
+        op3_crf_language_id,
         op4_warc_round_trip,
         op5_byte_bpe,
         op6_extendible_sharding,
         op7_quality_rules,
+        op8_compression_toxicity,
         op9_exact_dedup,
         op10_secret_scan,
     )
