@@ -84,6 +84,15 @@ def pointer_get(value, pointer: str):
     return value
 
 
+def pointer_text(document: str | None, pointer: str | None) -> str | None:
+    """What a pointer leads to in a JSON text, as JSON; None if absent or malformed."""
+    try:
+        found = MISSING if document is None or pointer is None else pointer_get(json.loads(document), pointer)
+    except ValueError:
+        found = MISSING
+    return None if found is MISSING else json.dumps(found, ensure_ascii=False, separators=(",", ":"))
+
+
 def pointer_value(document: Column, pointer: str, kind: str = "string") -> Column:
     """The value at a fixed pointer of a JSON text, natively by way of variant_get; null if absent."""
     path = "$" + "".join(f"[{p}]" if p.isdigit() else "['" + p.replace("'", "\\'") + "']" for p in pointer_parts(pointer))
@@ -94,13 +103,6 @@ def pointer_values(document: Column, pointers: Column) -> Column:
     """JSON texts of what pointers, one a row, lead to; null if absent or malformed."""
 
     def run(docs: pa.Array, paths: pa.Array) -> pa.Array:
-        out = []
-        for d, p in zip(docs.to_pylist(), paths.to_pylist()):
-            try:
-                found = MISSING if d is None or p is None else pointer_get(json.loads(d), p)
-            except ValueError:
-                found = MISSING
-            out.append(None if found is MISSING else json.dumps(found, ensure_ascii=False, separators=(",", ":")))
-        return pa.array(out, pa.string())
+        return pa.array(map(pointer_text, docs.to_pylist(), paths.to_pylist()), pa.string())
 
     return F.arrow_udf(run, "string")(document, pointers)

@@ -43,8 +43,12 @@ def conflicting_labels(df: DataFrame, text: str, label: str) -> DataFrame:
 def word_ngrams(text: Column, n: int) -> Column:
     """Distinct n-word runs of the lower-case words of a text."""
     words = F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
-    heads = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    return F.array_distinct(F.transform(heads, lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " ")))
+
+    def runs(w: Column) -> Column:
+        heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.array_distinct(F.transform(heads, lambda _, i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)  # the words are a variable there, so they are split once
 
 
 def near_duplicates(df: DataFrame, id_column: str, text: str, n: int = 5, at_least: float = 0.8) -> DataFrame:

@@ -59,15 +59,19 @@ def missing_members(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> Dat
     return rows.join(allowed.select(*keys).distinct(), keys, "left_anti")
 
 
+def _prefixes(path: str) -> Column:
+    """The path's own prefixes that end before a slash, and itself."""
+    upto = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), "/"))
+    return F.array_distinct(F.element_at(F.transform(F.array(F.split(F.col(path), "/")), upto), 1))
+
+
 def cover_by_prefix(paths: DataFrame, roots: DataFrame, case: list[str], path: str = "path", root: str = "root") -> DataFrame:
     """Each path with its longest covering root, null if none covers it.
 
     A root covers itself and what follows it after a slash. Every prefix of a
     path is looked up, so this is an equi-join on (case, prefix), not a nested loop.
     """
-    parts = F.split(F.col(path), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    each = paths.select(*case, path, F.explode(F.array_distinct(prefixes)).alias(root))
+    each = paths.select(*case, path, F.explode(_prefixes(path)).alias(root))
     hit = each.join(roots.select(*case, root).distinct(), [*case, root]).groupBy(*case, path).agg(F.max(F.struct(F.length(root).alias("n"), F.col(root))).alias("m"))
     return paths.join(hit, [*case, path], "left").select(paths["*"], F.col(f"m.{root}").alias("covering_root"))
 
@@ -79,9 +83,7 @@ def unused_roots(paths: DataFrame, roots: DataFrame, case: list[str], path: str
 
 def cover_all(paths: DataFrame, roots: DataFrame, case: list[str], path: str = "path", root: str = "root") -> DataFrame:
     """All (path, root) pairs in which the root covers the path."""
-    parts = F.split(F.col(path), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return paths.select(*case, path, F.explode(F.array_distinct(prefixes)).alias(root)).join(roots.select(*case, root).distinct(), [*case, root])
+    return paths.select(*case, path, F.explode(_prefixes(path)).alias(root)).join(roots.select(*case, root).distinct(), [*case, root])
 
 
 def first_full_match(rows: DataFrame, rules: DataFrame, props: str, wanted: str, order: str, key: list[str], kind: list[str]) -> DataFrame:

@@ -41,7 +41,7 @@ def _cards(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", "p_size", "p_name", _card(F.col("p_partkey"), F.col("p_name"), F.col("p_size")).alias("card"))
 
 
-_KIND = "CASE p_partkey % 10 WHEN 1 THEN 'missing' WHEN 2 THEN 'property' WHEN 3 THEN 'value' WHEN 4 THEN 'source' WHEN 5 THEN 'unbound' END"
+_KIND = "CASE p_partkey % 10 WHEN 1 THEN 'order' WHEN 2 THEN 'property' WHEN 3 THEN 'value' WHEN 4 THEN 'source' WHEN 5 THEN 'unbound' END"
 _GOOD = "p_partkey % 10 NOT IN (1, 2, 3, 4, 5)"
 
 
