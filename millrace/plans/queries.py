@@ -518,10 +518,13 @@ def ordered_distinct(t: Tables) -> DataFrame:
 # --- audits ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'size' ELSE 'sha256' END AS problem FROM documents WHERE doc_id < 0")
+@query("""SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'size' ELSE 'sha256' END AS problem
+  FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 IN (0, 1)""")
 def manifest_check(t: Tables) -> DataFrame:
-    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.concat(F.sha2("text", 256), F.col("doc_id").cast("string")).alias("sha256"))
-    return audit.manifest_check(files, files)
+    d = F.col("doc_id")
+    files = t.documents.select("doc_id", d.cast("string").alias("path"), F.col("n_chars").alias("size"), F.concat(F.sha2("text", 256), d.cast("string")).alias("sha256"))
+    listed = files.withColumn("size", F.when(d % 5 == 0, F.col("size") + 1).otherwise(F.col("size"))).withColumn("sha256", F.when(d % 5 == 1, F.lit("other")).otherwise(F.col("sha256")))
+    return audit.manifest_check(files.where("doc_id % 7 <> 0").drop("doc_id"), listed.drop("doc_id"))
 
 
 @query("SELECT sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
