@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Pieces a worker remembers, and token pairs.
-CACHE_PIECES, CACHE_PAIRS = 400_000, 1_000_000
+CACHE_PIECES, CACHE_PAIRS = 250_000, 500_000
+#: Token ids that leave a worker in one batch.
+BATCH_IDS = 500_000
 BLOCK = 1 << 20
 
 
@@ -37,7 +39,7 @@ class Vocabulary:
             self.tokens[rank] = token
         self.longest = max(map(len, ranks))
         self._parts: dict[int, tuple[int, int]] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -66,7 +68,7 @@ class Vocabulary:
         before the merge that used one of them up. Of equal ranks the left
         merge comes first.
         """
-        known = self._apart.get((left, right))
+        known = self._apart.get(left << 20 | right)
         if known is not None:
             return known
         tokens, ranks, a, b, until = self.tokens, self.ranks, left, right, 1 << 60
@@ -85,7 +87,7 @@ class Vocabulary:
                 until, b = made_b + 1, self.parts(b)[0]
         if len(self._apart) >= CACHE_PAIRS:
             self._apart.clear()
-        self._apart[left, right] = result
+        self._apart[left << 20 | right] = result
         return result
 
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
@@ -105,12 +107,24 @@ class Vocabulary:
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
-        whole = self.ranks.get(data)
+        get, known, apart, longest = self.ranks.get, self._apart.get, self.apart, self.longest
+        whole = get(data)
         if whole is not None:
             return [whole]
         last = [0]
-        for end in range(1, len(data) + 1):
-            last.append(self.last_token(data, end, last))
+        for end in range(1, len(data) + 1):  # last_token, without its calls
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(data[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    left = last[start]
+                    fits = known(left << 20 | token)
+                    if apart(left, token) if fits is None else fits:
+                        break
+            else:
+                raise ValueError(f"no token ends at byte {end}")
+            last.append(token)
         return self.walk(last)
 
     def decode(self, ids) -> bytes:
@@ -203,12 +217,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = encoder(path, pattern)
         for b in batches:
-            flat, ends = [], [0]
-            for text in b.column(1):
+            flat, ends, at = [], [0], 0
+            for i, text in enumerate(b.column(1)):
                 flat.extend(own.encode(text.as_py()))
                 ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+                if len(flat) >= BATCH_IDS or i + 1 == b.num_rows:
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, i + 1 - at), ids], ["doc_id", "ids"])
+                    flat, ends, at = [], [0], i + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of(docs).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
