@@ -167,9 +167,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {y: min(1.0, most / max(1, sizes.get(y, 0))) for y, most in ((1, toxic_rows), (0, ordinary_rows))}
     place = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    bound = 2 * (toxic_rows + ordinary_rows)
+    chosen = known.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * (toxic_rows + ordinary_rows))
+    # at most ``bound`` ids are broadcast, so no text is shuffled
+    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(bound)
     return [(int(r["toxic"]), words_of(r["text"])) for r in rows.collect()]
 
 
