@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, pin
+from .common import blocks, fresh, pin
 from .graph import connected_components
 
 BITS, BYTES, MAX_DIFF = 64, 8, 3
@@ -32,25 +32,42 @@ MASKS = [
 ]
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text: XXH64 (seed 42) of its word shingles, majority bit by bit. No word: 0."""
-    ones, total, tail = np.zeros(BITS, np.int64), 0, []
+#: Shingle width and least Jaccard similarity of near copies in drop_near_duplicates; its min-wise keys and hashes in each.
+COPY_SHINGLE, SIMILARITY, BANDS, BAND = 5, 0.8, 32, 5
+_RANDOM = np.random.default_rng(SEED)
+#: Odd factors of the min-wise hashes, of the hashes in a key, and of index keys.
+FACTORS, MIX = (_RANDOM.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * BAND, BAND + 2))
+
+
+def shingle_hashes(text: str | None, width: int = SHINGLE):
+    """XXH64 (seed 42) of a text's word shingles, in arrays. Fewer words than ``width`` are one shingle; no word, none."""
+    tail, some = [], False
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for block in blocks((text or "").encode("utf-8", "surrogatepass").lower()):
         words = tail + block.split()
         hashes = [digest(join(x), SEED) for x in zip(*(words[i:] for i in range(width)))]
         if hashes:
-            bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8), bitorder="little")
-            ones += bits.reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-            total += len(hashes)
+            some = True
+            yield np.array(hashes, np.uint64)
         tail = words[max(0, len(words) - width + 1) :]
-    if not total:
-        if not tail:
-            return 0
-        return digest(join(tail), SEED)
+    if tail and not some:
+        yield np.array([digest(join(tail), SEED)], np.uint64)
+
+
+def majority(parts) -> int:
+    """The 64-bit SimHash of shingle hashes: their majority bit by bit. No hash: 0."""
+    ones, total = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
+        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles. No word: 0."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint of each row's whole text as a signed long."""
 
@@ -151,12 +168,184 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     )
 
 
+def shingle_set(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def candidate_keys(members: np.ndarray, fp: int) -> np.ndarray:
+    """The index keys of a shingle set: its min-wise bands, and the byte positions of its SimHash."""
+    if not members.size:
+        return np.zeros(0, np.uint64)
+    least = np.full(FACTORS.size, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, members.size, 1024):
+        least = np.minimum(least, (members[at : at + 1024, None] * FACTORS).min(axis=0))
+    bands = (least.reshape(BANDS, BAND) * MIX[:BAND]).sum(axis=1, dtype=np.uint64)
+    bytewise = (np.array(MASKS, np.uint64) & np.uint64(fp)) * MIX[BAND]
+    keys = np.concatenate([bands, bytewise])
+    return keys + np.arange(keys.size, dtype=np.uint64) * MIX[BAND + 1]
+
+
+def _row_key(text) -> list:
+    return [F.xxhash64(text), F.xxhash64(F.lit("row"), text)]
+
+
+def candidate_index(docs: DataFrame) -> DataFrame:
+    """``doc_id, k1, k2, sid, keys`` of each row: a hash of its text in two parts, one of its shingle set, and index keys."""
+
+    def run(batches):
+        for b in batches:
+            sids, keys, ends = [], [], [0]
+            for x in b.column(3):
+                parts = list(shingle_hashes(x.as_py(), COPY_SHINGLE))
+                members = shingle_set(parts)
+                sids.append(xxhash.xxh64_intdigest(members.tobytes(), SEED))
+                keys.append(candidate_keys(members, majority(parts)))
+                ends.append(ends[-1] + keys[-1].size)
+            flat = np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            ids = pa.array(np.array(sids, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ids, listed], ["doc_id", "k1", "k2", "sid", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    k1, k2 = _row_key(F.col("text").cast("string"))
+    rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, keys array<long>")
+
+
+def _runs(batches, column: int = 0):
+    """Tables of whole runs of one key, over rows sorted by it. A run may span batches."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if kept and kept[0].column(column)[0] != b.column(column)[b.num_rows - 1]:
+            key = b.column(column).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            yield pa.Table.from_batches([*kept, b.slice(0, cut)])
+            kept = [b.slice(cut)]
+        elif kept:
+            kept.append(b)
+        else:
+            key = b.column(column).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield pa.Table.from_batches([b.slice(0, cut)])
+            kept = [b.slice(cut)]
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _bounds(key: np.ndarray) -> np.ndarray:
+    return np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+
+
+def _shared_buckets(batches):
+    """``(bucket, sid)`` where a key has several sets; keys with the same sets give the same bucket."""
+    for table in _runs(batches):
+        sid, ends = table.column(1).to_numpy(), _bounds(table.column(0).to_numpy())
+        buckets, sids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(np.diff(ends) > 1):
+            found = np.unique(sid[ends[i] : ends[i + 1]])
+            if found.size > 1:
+                sign = np.array([xxhash.xxh64_intdigest(found.tobytes(), SEED)], np.uint64).view(np.int64)
+                buckets.append(np.repeat(sign, found.size))
+                sids.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (buckets, sids)], ["bucket", "sid"])
+
+
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Star links, by place, that join the sets whose Jaccard similarity is at least SIMILARITY, step by step."""
+    sizes, links = np.array([s.size for s in sets]), []
+    left = np.arange(len(sets))
+    while left.size > 1:
+        root, left = left[0], left[1:]
+        front = [root]
+        while front and left.size:
+            at = front.pop()
+            fits = left[np.minimum(sizes[left], sizes[at]) >= SIMILARITY * np.maximum(sizes[left], sizes[at]) - 1e-6]
+            if not fits.size:
+                continue
+            near = []
+            for some in np.array_split(fits, 1 + int(sizes[fits].sum()) // 1_000_000):
+                if not some.size:
+                    continue
+                values = np.concatenate([sets[i] for i in some])
+                hit = sets[at][np.minimum(np.searchsorted(sets[at], values), sizes[at] - 1)] == values
+                shared = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes[some])[:-1]], dtype=np.int64)
+                near.append(some[shared / (sizes[at] + sizes[some] - shared) >= SIMILARITY])
+            near = np.concatenate(near)
+            links.extend((int(root), int(i)) for i in near)
+            front.extend(near)
+            left = left[~np.isin(left, near)]
+    return links
+
+
+def _verified_links(batches):
+    """``(u, v)`` of sets linked by similarity, over ``(bucket, sid, members)`` sorted by bucket."""
+    for table in _runs(batches):
+        sid, ends = table.column(1).to_numpy(), _bounds(table.column(0).to_numpy())
+        members, u, v = table.column(2), [], []
+        for start, end in zip(ends[:-1], ends[1:]):
+            for a, b in similar_links([np.frombuffer(x.as_py(), np.uint64) for x in members.slice(start, end - start)]):
+                u.append(sid[start + a])
+                v.append(sid[start + b])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v)], ["u", "v"])
+
+
+def _sets(batches):
+    """``(sid, members)`` from ``(sid, text)``."""
+    for b in batches:
+        held = [shingle_set(list(shingle_hashes(x.as_py(), COPY_SHINGLE))).tobytes() for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["sid", "members"])
+
+
+def _same_row(left: DataFrame, own: list[str], right: DataFrame, how: str) -> DataFrame:
+    """Join by doc_id and both parts of the text's hash; ``right`` has them as ``_id, _k1, _k2``."""
+    names = fresh(left, "row_id", "row_k1", "row_k2")
+    right = right.withColumnsRenamed(dict(zip(("_id", "_k1", "_k2"), names)))
+    on = F.col("doc_id").eqNullSafe(F.col(names[0]))
+    return left.join(right, on & (F.col(own[0]) == F.col(names[1])) & (F.col(own[1]) == F.col(names[2])), how)
+
+
+def similarity_links(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``(u, v)``: links that connect, in steps, all shingle sets of ``index`` that are near copies."""
+    one = index.groupBy("sid").agg(F.first("keys").alias("keys"))
+    shared = (
+        one.select(F.explode("keys").alias("key"), "sid").repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_shared_buckets, "bucket long, sid long")
+    )
+    buckets = pin(shared.distinct())
+    first = index.join(buckets.select("sid").distinct(), "sid").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))).alias("r"))
+    k1, k2 = _row_key(F.col("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("k1", k1).withColumn("k2", k2)
+    wanted = _same_row(texts, ["k1", "k2"], first.select("sid", "r.*"), "inner").select("sid", "text")
+    sets = pin(wanted.mapInArrow(_sets, "sid long, members binary")).dropDuplicates(["sid"])
+    rows = buckets.join(sets, "sid").select("bucket", "sid", "members")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified_links, "u long, v long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class: the one with the least doc_id.
+    """``docs`` with one row of each class of near copies, the one with the least doc_id.
 
-    Rows that repeat a doc_id count as one document, of which one row stays;
-    rows without doc_id cannot be told apart by it and stay.
+    Texts are near copies if the Jaccard similarity of their sets of five-word
+    shingles is at least 0.8; classes are what such links reach. Texts without
+    words are copies of each other. Rows are told apart by doc_id and text, so
+    one that repeats a doc_id with another text is judged by that text; of rows
+    alike in both one stays. A null doc_id is no least one: of a class's rows
+    without doc_id one stays beside the one with the least.
     """
-    keep = near_duplicate_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    index = pin(candidate_index(docs))
+    stars = connected_components(similarity_links(docs, index))
+    rooted = index.drop("keys").join(stars.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left")
+    rooted = pin(rooted.select("doc_id", "k1", "k2", F.coalesce("root", "sid").alias("root"), F.col("doc_id").isNull().alias("no_id")))
+    row = F.struct("doc_id", "k1", "k2")
+    least = rooted.groupBy("root", "no_id").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    gone = rooted.join(least, ["root", "no_id"]).where(~row.eqNullSafe(F.col("least")))
+    again = rooted.join(least, ["root", "no_id"]).where(row.eqNullSafe(F.col("least"))).groupBy("doc_id", "k1", "k2").count().where("count > 1")
+    named = [F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")]
+    gone, again = pin(gone.select(*named).distinct()), pin(again.select(*named))
+    own = fresh(docs, "own_k1", "own_k2")
+    marked = docs.select(*docs.columns, *(k.alias(name) for k, name in zip(_row_key(F.col("text").cast("string")), own)))
+    plain = _same_row(marked, own, gone.union(again), "left_anti")
+    repeated = _same_row(marked, own, again, "left_semi").dropDuplicates(["doc_id", *own])
+    return plain.unionByName(repeated).select(docs.columns)

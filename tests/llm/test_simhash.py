@@ -85,3 +85,50 @@ def test_whole_long_text_counts():
     a = "alpha beta gamma " * 200000
     assert simhash.fingerprint(a) == simhash.fingerprint(a.upper())
     assert simhash.fingerprint("x y z " * 10) == brute_print("x y z " * 10)
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+
+def brute_kept(rows):
+    """The (doc_id, text) that stay, from all pairs."""
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if group[i] != group[j] and (not both or len(sets[i] & sets[j]) / both >= 0.8):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (d, t), g in zip(rows, group):
+        least[g] = min(least.get(g, (d, t)), (d, t))
+    return sorted(least.values())
+
+
+def near_copies(bases=40, seed=5):
+    """Texts with copies in which one to four words of 60 differ, so that similarities lie on both sides of 0.8."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(bases):
+        base = [rnd.choice("abcdefghij") + str(rnd.randint(0, 500)) for _ in range(60)]
+        out.append(list(base))
+        for k in (1, 1, 2, 3, 4):
+            copy = list(base)
+            for at in rnd.sample(range(60), k):
+                copy[at] = "new%d" % rnd.randint(0, 10**6)
+            out.append(copy)
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_near_copies_of_four_fifths_go(make_docs):
+    rows = near_copies() + [(900, ""), (901, None), (902, "one two"), (903, "One  two"), (904, "one three")]
+    want = [d for d, _ in brute_kept([(d, t or "") for d, t in rows])]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(make_docs(rows, extra=True)).collect()) == want
+    assert len(rows) - len(want) > 80
+
+
+def test_similarity_at_the_bound():
+    a = list(range(9))
+    sets = [simhash.np.array(x, simhash.np.uint64) for x in (a, a[:8] + [50], a[:7] + [60, 61], a)]
+    assert sorted(simhash.similar_links(sets)) == [(0, 1), (0, 3)]  # 8 of 10, 7 of 11
