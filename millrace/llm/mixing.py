@@ -80,6 +80,12 @@ def demand_time(words: Column, target: Column, opening: Column, closing: Column)
     return F.when(target <= 0, F.lit(0.0)).otherwise(2 * share / (opening + root))
 
 
+def _ramp(ramps, i: int, rank: Column | None = None) -> Column:
+    """The opening (0) or closing (1) weight of the schedule of a source's rank."""
+    rank = F.col("rank") if rank is None else rank
+    return F.element_at(F.array(*(F.lit(float(r[i])) for r in ramps)), (rank % len(ramps) + 1).cast("int"))
+
+
 def mix_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, ramps=RAMPS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per row of ``docs``, range-sorted by training position.
 
@@ -111,30 +117,36 @@ def mix_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, ramps=RAMP
     joined = joined.withColumn("passes", passes).withColumn("rest", F.col("whole") - F.col("passes") * F.col("source_size"))
     partial = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("at")))
     taken = (F.col("passes") * F.col("size") + partial).cast("long")
-    ramp = lambda i: F.element_at(F.array(*(F.lit(float(r[i])) for r in ramps)), (F.col("rank") % len(ramps) + 1).cast("int"))
     joined = joined.withColumn("taken", taken).withColumn(
-        "position", F.when(F.col("taken") > 0, F.round(demand_time(F.col("at").cast("double"), F.col("target"), ramp(0), ramp(1)), 6))
+        "position", F.when(F.col("taken") > 0, F.round(demand_time(F.col("at").cast("double"), F.col("target"), _ramp(ramps, 0), _ramp(ramps, 1)), 6))
     )
     return joined.select("doc_id", "size", "source_size", "target", "taken", "position", "at", "rank").orderBy(
         F.col("position").asc_nulls_last(), "rank", "at", "doc_id"
     )
 
 
-def mix_corpus(docs: DataFrame, **options) -> DataFrame:
+def mix_corpus(docs: DataFrame, ramps=RAMPS, **options) -> DataFrame:
     """``docs`` as the mix trains them: each document as often as the mix takes it, a started pass as a whole one.
 
-    Occurrences are range-sorted by training position. A document of which
+    Every occurrence has a training position of its own: pass k over a source
+    starts k source sizes further on in its stream, and the demand is inverted
+    there. Occurrences are range-sorted by that position. A document of which
     nothing is taken goes, unless it has no words: such documents stay, first.
     """
-    key, times, start, turn = fresh(docs, "mix_id", "mix_times", "mix_start", "mix_pass")
+    key, times, start, turn, place = fresh(docs, "mix_id", "mix_times", "mix_start", "mix_pass", "mix_position")
     occurrences = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
-    mixed = mix_documents(docs, **options).select(F.col("doc_id").alias(key), "position", occurrences.alias(times))
-    chosen = mixed.where(F.col(times) > 0).groupBy(key).agg(F.max(times).alias(times), F.min("position").alias(start))
+    stream = F.struct("position", "at", "rank", "source_size", "target")
+    mixed = mix_documents(docs, ramps=ramps, **options).select(F.col("doc_id").alias(key), stream.alias(start), occurrences.alias(times))
+    chosen = mixed.where(F.col(times) > 0).groupBy(key).agg(F.max(times).alias(times), F.min(start).alias(start))
     out = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(key)))
-    first = F.col(start).asc_nulls_first()
+    of = lambda name: F.col(start)[name]
+    words = of("at") + (F.col(turn) - 1) * of("source_size")
+    position = demand_time(words.cast("double"), of("target"), _ramp(ramps, 0, of("rank")), _ramp(ramps, 1, of("rank")))
+    order = F.col(place).asc_nulls_first()
     return (
         out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
-        .repartitionByRange(F.col(turn), first)
-        .sortWithinPartitions(turn, first)
+        .withColumn(place, F.when(of("position").isNotNull(), position))
+        .repartitionByRange(order)
+        .sortWithinPartitions(order, of("rank"), words)
         .select(docs.columns)
     )

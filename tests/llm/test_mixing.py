@@ -79,3 +79,18 @@ def test_corpus_repeats_documents(make_docs):
         seen[r.doc_id] += 1
     for i, (size, taken) in takes.items():
         assert seen[i] == (-(-taken // size) if size else 1)
+
+
+def test_every_occurrence_has_its_own_position(make_docs):
+    docs = make_docs([(i, "w " * 10, None, f"s{i % 3}") for i in range(300)])
+    want = []
+    for r in mixing.mix_documents(docs).collect():
+        opening, closing = mixing.RAMPS[r["rank"] % 3]
+        for k in range(-(-r.taken // r.size)):
+            share = (r["at"] + k * r.source_size) / r.target
+            t = 2 * share / (opening + (opening**2 + 2 * (closing - opening) * share) ** 0.5)
+            want.append((t, r["rank"], r["at"], k, r.doc_id))
+    got = [r.doc_id for r in mixing.mix_corpus(docs).collect()]
+    assert got == [w[-1] for w in sorted(want)]
+    last_first = max(i for i, w in enumerate(sorted(want)) if w[3] == 0)
+    assert sum(w[3] == 1 for w in sorted(want)[:last_first]) > 40  # second passes start before the last first one
