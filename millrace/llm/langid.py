@@ -6,7 +6,8 @@ Forward-backward gives each word's posterior, so code-switched text is labelled
 word by word; a document's language is the one with the largest posterior mass.
 
 Training reads a bounded, documented sample: about SAMPLE_ROWS rows for each
-label, at most LABELS labels, texts up to SAMPLE_CHARS code points. Sequences
+label, of longer texts SAMPLE_CHARS code points from a random place. All labels
+are learned; more than LABELS are an error, never left out. Sequences
 are cut from them at random and strung together across languages, so the
 transitions see switches. Prediction reads every whole text.
 """
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample and the model.
-SAMPLE_ROWS, LABELS, SAMPLE_CHARS = 300, 64, 20_000
+SAMPLE_ROWS, LABELS, SAMPLE_CHARS = 300, 256, 20_000
 SEQUENCES, LENGTH, ROUNDS = 3000, 48, 40
+#: Labels that SEQUENCES do for; more labels get more of them, handled in as many parts.
+SEQUENCE_LABELS = 64
 BUCKETS, LEXICON = 1 << 16, 200
 #: Words a worker remembers, and words that one block of forward-backward holds.
 CACHE_WORDS, BLOCK_WORDS = 400_000, 400_000
@@ -129,8 +132,9 @@ def pair_expectation(scores: np.ndarray, count: int, length: int, moves: np.ndar
     posterior /= posterior.sum(axis=2, keepdims=True)
     expected = np.zeros((k, k))
     for t in range(1, length):
-        joint = ahead[:, t - 1, :, None] * step[None] * (back[:, t] * emit[:, t])[:, None, :]
-        expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        after = back[:, t] * emit[:, t]
+        whole = ((ahead[:, t - 1] @ step) * after).sum(axis=1, keepdims=True)
+        expected += step * ((ahead[:, t - 1] / whole).T @ after)
     return posterior.reshape(-1, k), expected
 
 
@@ -150,6 +154,7 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 1, sequences: int =
         common |= {w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]}
     lexicon = frozenset(common)
     words, gold = [], []
+    sequences = max(sequences, sequences * len(labels) // SEQUENCE_LABELS)
     for _ in range(sequences):
         row: list[str] = []
         while len(row) < length:
@@ -168,7 +173,7 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 1, sequences: int =
     bucket = np.array(list(chain.from_iterable(listed)))
     scale = np.array([len(f) ** -0.5 for f in listed])
     k, gold = len(labels), np.array(gold)
-    truth = np.eye(k)[gold]
+    parts = np.array_split(np.arange(sequences), (-(-k // SEQUENCE_LABELS)) ** 2)
     pairs = gold.reshape(-1, length)
     seen = np.zeros((k, k))
     np.add.at(seen, (pairs[:, :-1].ravel(), pairs[:, 1:].ravel()), 1)
@@ -176,9 +181,13 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 1, sequences: int =
     memory = [np.zeros_like(weights), np.zeros_like(moves)]
     for _ in range(rounds):
         value = np.stack([np.bincount(owner, weights[bucket, j], len(listed)) for j in range(k)], axis=1) * scale[:, None]
-        posterior, expected = pair_expectation(value[at], sequences, length, moves, start)
-        slope = (truth - posterior) / len(at)
-        by_word = np.stack([np.bincount(at, slope[:, j], len(listed)) for j in range(k)], axis=1) * scale[:, None]
+        by_word, expected = np.zeros((len(listed), k)), np.zeros((k, k))
+        for part in filter(len, parts):
+            own = slice(part[0] * length, (part[-1] + 1) * length)
+            posterior, pair = pair_expectation(value[at[own]], len(part), length, moves, start)
+            slope = (np.eye(k)[gold[own]] - posterior) / len(at)
+            by_word += np.stack([np.bincount(at[own], slope[:, j], len(listed)) for j in range(k)], axis=1) * scale[:, None]
+            expected += pair
         grads = [
             np.stack([np.bincount(bucket, by_word[owner, j], BUCKETS) for j in range(k)], axis=1) - 1e-7 * weights,
             (seen - expected) / len(at) - 1e-7 * moves,
@@ -190,15 +199,28 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 1, sequences: int =
 
 
 def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, list[str]]]:
-    """(label, words) of about ``rows`` rows for each of the LABELS commonest labels, chosen by hash."""
-    usable = labelled.where("lang is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
+    """(label, words) of about ``rows`` rows for each label, chosen by hash. Raises if there are more than LABELS labels."""
+    usable = labelled.where("lang is not null and text is not null")
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS + 1).collect()
+    if len(counts) > LABELS:
+        raise ValueError(f"more than {LABELS} languages to learn")
     if not counts:
         return []
     share = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"]))) for r in counts))
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = usable.where(place < share[F.col("lang")]).select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text")
-    return [(r["lang"], words_of(r["text"])) for r in chosen.limit(2 * rows * len(counts)).collect()]
+    over = F.length("text") - SAMPLE_CHARS
+    at = F.when(over > 0, F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), over.cast("long") + 1)).otherwise(F.lit(0)).cast("int") + 1
+    chosen = (
+        usable.where(place < share[F.col("lang")])
+        .select("lang", F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("text"), (over > 0).alias("cut"), "doc_id")
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text")
+    )
+    return [(r["lang"], _whole_words(words_of(r["text"]), r["cut"])) for r in chosen.limit(2 * rows * len(counts)).collect()]
+
+
+def _whole_words(words: list[str], cut: bool) -> list[str]:
+    """The words of a text without those that a cut may have split."""
+    return words[1:-1] if cut and len(words) > 2 else words
 
 
 def held_out(doc_id):

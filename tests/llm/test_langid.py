@@ -58,3 +58,27 @@ def test_forward_backward_is_exact():
 def test_no_labels_and_no_rows(make_docs):
     assert langid.language_report(make_docs([])).collect() == []
     assert [r.lang_pred for r in langid.language_report(make_docs([(1, "words here")])).collect()] == ["und"]
+
+
+def test_every_label_and_long_texts_are_learned(make_docs):
+    rnd = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:02}" for k in range(70)]
+    words = {g: ["".join(rnd.choice(letters) for _ in range(6)) for _ in range(5)] for g in names}
+    rows = [(i, " ".join(rnd.choice(words[g]) for _ in range(20)), g) for i, g in enumerate(names * 8)]
+    long = [(1000 + i, "zo quux vlam " * 3000, "long") for i in range(8)]
+    got = langid.training_sample(make_docs(rows + long))
+    assert {g for g, _ in got} == {*names, "long"}
+    cut = next(w for g, w in got if g == "long")
+    assert set(cut) == {"zo", "quux", "vlam"} and 1000 < len(cut) <= langid.SAMPLE_CHARS
+    model = langid.train(got, sequences=600, rounds=20)
+    mass = model.posterior_mass([t.split() for _, t, _ in rows[:70]] + [["vlam", "quux", "zo"]])
+    told = [model.labels[k] for k in mass.argmax(axis=1)]
+    assert sum(a == b for a, b in zip(told, [*names, "long"])) >= 68
+
+
+def test_too_many_labels_are_an_error(make_docs):
+    import pytest
+
+    with pytest.raises(ValueError, match="languages"):
+        langid.training_sample(make_docs([(i, "one word", f"l{i}") for i in range(langid.LABELS + 1)]))
