@@ -35,14 +35,20 @@ UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
+#: Letters and marks of one position of the chain; a longer word takes several.
+PIECE = 40
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text, one of more than PIECE letters in pieces."""
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed feature buckets of a word. Of a very long one the head and tail speak for it."""
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
+    """Hashed feature buckets of a whole word."""
     padded = f"^{word}$"
     names = [f"p{padded[:k]}" for k in (2, 3, 4)] + [f"s{padded[-k:]}" for k in (2, 3, 4)]
     names += [padded[i : i + k] for k in (1, 2, 3) for i in range(len(padded) - k + 1)]

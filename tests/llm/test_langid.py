@@ -82,3 +82,12 @@ def test_too_many_labels_are_an_error(make_docs):
 
     with pytest.raises(ValueError, match="languages"):
         langid.training_sample(make_docs([(i, "one word", f"l{i}") for i in range(langid.LABELS + 1)]))
+
+
+def test_a_long_word_is_judged_whole():
+    model = langid.train([(g, langid.words_of(t)) for _, t, g in corpus()])
+    en, de = "the" * 7, "wasserübergründinge" * 30
+    words = langid.words_of(en + de + en)
+    assert "".join(words) == en + de + en and max(map(len, words)) <= langid.PIECE
+    assert model.labels[model.posterior_mass([words])[0].argmax()] == "de"
+    assert langid.features("a" * 60 + "b" * 60, frozenset()) != langid.features("a" * 60 + "c" + "b" * 59, frozenset())
