@@ -106,6 +106,55 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 1000 OR held = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN payload_bytes < 1000 OR held = page_id THEN NULL ELSE held END AS refers_to, true AS complete
 FROM h""",
+    "op7_quality_rules": r"""
+WITH b AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, text IS NOT NULL AS has, length(t) AS n,
+         regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(regexp_split_to_array(lower(t), '[^\p{L}]+'), lambda x: x <> '') AS letters,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS dark,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(t) - length(regexp_replace(t, '\p{Ll}', '', 'g')) AS lo, length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS up,
+         length(t) - length(regexp_replace(t, '\p{Nd}', '', 'g')) AS nd, length(t) - length(regexp_replace(t, '[.,;:!?''"()\-]', '', 'g')) AS pu
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+c AS (SELECT *, [lo / greatest(n, 1), up / greatest(n, 1), nd / greatest(n, 1), (n - dark) / greatest(n, 1), pu / greatest(n, 1),
+                 (n - lo - up - nd - (n - dark) - pu) / greatest(n, 1)] AS cls FROM b),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+rep AS (SELECT rid, count(DISTINCT p) AS n_rep FROM (
+          SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS times FROM win) WHERE times > 1) GROUP BY rid),
+cnt AS (SELECT lang, count(*) AS n_lang FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang),
+s AS (SELECT c.* FROM c JOIN cnt USING (lang)
+      WHERE has AND CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) < least(1.0, CAST(400 AS DOUBLE) / n_lang)
+        AND len(w) >= 50),
+med AS (SELECT lang, count(*) AS n_docs, sum(len(letters)) AS total, quantile_cont(cls[1], 0.5) AS a, quantile_cont(cls[2], 0.5) AS b, quantile_cont(cls[3], 0.5) AS c,
+               quantile_cont(cls[4], 0.5) AS d, quantile_cont(cls[5], 0.5) AS e, quantile_cont(cls[6], 0.5) AS f FROM s GROUP BY lang),
+wc AS (SELECT lang, word, count(*) AS k, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place
+       FROM (SELECT lang, unnest(letters) AS word FROM s) GROUP BY lang, word),
+ref AS (SELECT lang, list(word ORDER BY place) AS words, list(round(k / total, 6) ORDER BY place) AS shares,
+               any_value([round(a / (a + b + c + d + e + f), 6), round(b / (a + b + c + d + e + f), 6), round(c / (a + b + c + d + e + f), 6),
+                          round(d / (a + b + c + d + e + f), 6), round(e / (a + b + c + d + e + f), 6), round(f / (a + b + c + d + e + f), 6)]) AS ref_cls
+        FROM wc JOIN med USING (lang) WHERE place <= 20 AND n_docs >= 20 GROUP BY lang),
+pq AS (SELECT rid, len(w) AS n_words, ref.lang, cls, ref_cls,
+              list_transform(words, lambda x: len(list_filter(letters, lambda y: y = x)) / greatest(len(letters), 1)) AS p, shares AS q
+       FROM c CROSS JOIN ref),
+pr AS (SELECT rid, n_words, lang, cls, ref_cls, list_append(p, greatest(1 - list_sum(p), 0)) AS p, list_append(q, greatest(round(1 - list_sum(q), 6), 0)) AS q FROM pq),
+dist AS (SELECT rid, n_words, lang,
+    sqrt(greatest(list_sum(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN p[i] > 0 THEN p[i] * log2(p[i] / ((p[i] + q[i]) / 2)) ELSE 0 END
+      + CASE WHEN q[i] > 0 THEN q[i] * log2(q[i] / ((p[i] + q[i]) / 2)) ELSE 0 END)) / 2, 0)) AS wd,
+    sqrt(greatest(list_sum(list_transform(range(1, 7), lambda i: CASE WHEN cls[i] > 0 THEN cls[i] * log2(cls[i] / ((cls[i] + ref_cls[i]) / 2)) ELSE 0 END
+      + CASE WHEN ref_cls[i] > 0 THEN ref_cls[i] * log2(ref_cls[i] / ((cls[i] + ref_cls[i]) / 2)) ELSE 0 END)) / 2, 0)) AS cd FROM pr),
+near AS (SELECT *, wd * wd - 20.0 / (4.0 * n_words * ln(2.0)) AS excess
+         FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY wd, cd, lang) AS place FROM dist) WHERE place = 1),
+lim AS (SELECT round(quantile_cont(cd, 0.5) + 16 * (quantile_cont(cd, 0.75) - quantile_cont(cd, 0.25)), 6) AS class_limit,
+               round(quantile_cont(excess, 0.5) + 3 * (quantile_cont(excess, 0.75) - quantile_cont(excess, 0.25)), 6) AS word_limit
+        FROM near WHERE rid IN (SELECT rid FROM s)),
+base AS (SELECT c.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(dark AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words
+         FROM c LEFT JOIN rep USING (rid))
+SELECT doc_id, base.n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       base.n_words < 50 OR 100 * n_repeat_words > 50 * base.n_words AS base_failed,
+       NOT (base.n_words < 50 OR 100 * n_repeat_words > 50 * base.n_words) AND NOT coalesce(cd > class_limit OR excess > word_limit, false) AS kept,
+       round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, near.lang AS language
+FROM base LEFT JOIN near USING (rid) LEFT JOIN lim ON true""",
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
