@@ -6,6 +6,11 @@ token that can end that prefix's encoding. A token that matches at the end is
 that one if the prefix before it ends in a token that stays apart from it.
 Appending bytes extends the table; after an edit it is filled again from the
 edit on, until it agrees with the old one over the longest token's length.
+
+Documents are encoded in blocks of rows. The pieces of a block that were not
+met before fill their tables side by side: one array step handles the same
+prefix length of all of them. A trie tells which tokens end there, and each
+pair of tokens is judged once.
 """
 
 from __future__ import annotations
@@ -23,12 +28,49 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Pieces a worker remembers, and token pairs.
-CACHE_PIECES, CACHE_PAIRS = 250_000, 500_000
-#: Token ids that leave a worker in one batch.
-BATCH_IDS = 500_000
+CACHE_PIECES, CACHE_PAIRS = 400_000, 1_000_000
+#: Token pairs that the scalar form remembers.
+FEW_PAIRS = 50_000
+#: Pieces of one block of rows, and new ones whose tables are filled side by side.
+BLOCK_PIECES, NEW_PIECES = 500_000, 20_000
+#: Bytes of a piece up to which its table is filled beside others'.
+SHORT = 48
 BLOCK = 1 << 20
 
 
+class Lookup:
+    """Whole numbers from 0 to whole numbers from 0, for arrays at a time; -1 is told for what is not there."""
+
+    def __init__(self, room: int):
+        self.bits = max(4, (2 * room).bit_length())
+        self.keys, self.values, self.size = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), 0
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free place where its search ends."""
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while left.size:
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[left]]
+            left = left[(there != keys[left]) & (there >= 0)]
+        return at
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._places(keys)
+        return np.where(self.keys[at] >= 0, self.values[at], -1)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that are not there yet."""
+        self.size += len(keys)
+        while len(keys):
+            at = self._places(keys)
+            self.keys[at] = keys
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            keys, values = keys[~won], values[~won]
+
+
 class Vocabulary:
     """Ranks of a byte-level vocabulary: which tokens there are, how each is made, which can be neighbours."""
 
@@ -40,6 +82,9 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self._parts: dict[int, tuple[int, int]] = {}
         self._apart: dict[int, bool] = {}
+        self.lengths = np.array([len(t) for t in self.tokens])
+        self._trie: tuple[Lookup, np.ndarray] | None = None
+        self._pairs = Lookup(CACHE_PAIRS)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -68,31 +113,32 @@ class Vocabulary:
         before the merge that used one of them up. Of equal ranks the left
         merge comes first.
         """
-        known = self._apart.get(left << 20 | right)
-        if known is not None:
-            return known
         tokens, ranks, a, b, until = self.tokens, self.ranks, left, right, 1 << 60
         while True:
             rank = ranks.get(tokens[a] + tokens[b])
             if rank is not None and rank < until:
-                result = False
-                break
+                return False
             made_a, made_b = (x if len(tokens[x]) > 1 else -1 for x in (a, b))
             if made_a < 0 and made_b < 0:
-                result = True
-                break
+                return True
             if made_a > made_b:
                 until, a = made_a, self.parts(a)[1]
             else:
                 until, b = made_b + 1, self.parts(b)[0]
-        if len(self._apart) >= CACHE_PAIRS:
-            self._apart.clear()
-        self._apart[left << 20 | right] = result
-        return result
+
+    def known_apart(self, left: int, right: int) -> bool:
+        """``apart``, remembered for some pairs."""
+        pair = left << 20 | right
+        known = self._apart.get(pair)
+        if known is None:
+            if len(self._apart) >= FEW_PAIRS:
+                self._apart.clear()
+            known = self._apart[pair] = self.apart(left, right)
+        return known
 
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
         """The only token that can end the encoding of data[:end], given those of the shorter prefixes."""
-        get, apart = self.ranks.get, self.apart
+        get, apart = self.ranks.get, self.known_apart
         for start in range(max(0, end - self.longest), end):
             token = get(data[start:end])
             if token is not None and (not start or apart(last[start], token)):
@@ -107,26 +153,90 @@ class Vocabulary:
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
-        get, known, apart, longest = self.ranks.get, self._apart.get, self.apart, self.longest
-        whole = get(data)
-        if whole is not None:
-            return [whole]
         last = [0]
-        for end in range(1, len(data) + 1):  # last_token, without its calls
-            for start in range(end - longest if end > longest else 0, end):
-                token = get(data[start:end])
-                if token is not None:
-                    if not start:
-                        break
-                    left = last[start]
-                    fits = known(left << 20 | token)
-                    if apart(left, token) if fits is None else fits:
-                        break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
-            last.append(token)
+        for end in range(1, len(data) + 1):
+            last.append(self.last_token(data, end, last))
         return self.walk(last)
 
+    def trie(self) -> tuple[Lookup, np.ndarray]:
+        """The next node by ``node << 8 | byte``, and the token of each node or -1. Node 0 is the root."""
+        if self._trie is None:
+            node = {b"": 0}
+            for t in self.ranks:
+                for end in range(1, len(t) + 1):
+                    node.setdefault(t[:end], len(node))
+            moves = np.array([node[p[:-1]] << 8 | p[-1] for p in node if p], np.int64)
+            move = Lookup(len(moves))
+            move.add(moves, np.arange(1, len(node), dtype=np.int32))
+            self._trie = move, np.array([self.ranks.get(p, -1) for p in node], np.int32)
+        return self._trie
+
+    def fitting(self, pairs: np.ndarray) -> np.ndarray:
+        """``apart`` of many pairs, each ``left << 20 | right``."""
+        known = self._pairs.get(pairs)
+        new = np.unique(pairs[known < 0])
+        if not new.size:
+            return known > 0
+        if self._pairs.size + new.size > CACHE_PAIRS:
+            self._pairs, new = Lookup(CACHE_PAIRS), np.unique(pairs)
+        self._pairs.add(new, np.fromiter((self.apart(p >> 20, p & 0xFFFFF) for p in new.tolist()), np.int32, len(new)))
+        return self._pairs.get(pairs) > 0
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has. Step by step all prefix tables grow by a byte."""
+        move, token_of = self.trie()
+        lengths = np.array([len(p) for p in pieces])
+        order = np.argsort(-lengths, kind="stable")
+        short = order[lengths[order] <= SHORT]
+        size = lengths[short]
+        longest = int(size[0]) if len(size) else 0
+        data = np.zeros((len(short), longest), np.uint8)
+        data[np.arange(longest)[None, :] < size[:, None]] = np.frombuffer(b"".join(pieces[i] for i in short), np.uint8)
+        last = np.full((longest + 1, len(short)), -1, np.int32)
+        rows, starts, nodes = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for end in range(1, longest + 1):
+            n = int(np.searchsorted(-size, -end, side="right"))
+            going = rows < n
+            rows = np.concatenate([rows[going], np.arange(n, dtype=np.int32)])
+            starts = np.concatenate([starts[going], np.full(n, end - 1, np.int32)])
+            nodes = move.get(np.concatenate([nodes[going], np.zeros(n, np.int64)]) << 8 | data[rows, end - 1]).astype(np.int64)
+            going = nodes >= 0
+            rows, starts, nodes = rows[going], starts[going], nodes[going]
+            token = token_of[nodes]
+            left = np.flatnonzero(token >= 0)
+            while left.size:  # each row's longest token first
+                row = rows[left]
+                first = np.full(n, -1, np.int64)
+                first[row[::-1]] = left[::-1]
+                first = first[first >= 0]
+                fits = starts[first] == 0
+                later = np.flatnonzero(~fits)
+                at = first[later]
+                fits[later] = self.fitting(last[starts[at], rows[at]].astype(np.int64) << 20 | token[at])
+                last[end, rows[first[fits]]] = token[first[fits]]
+                token[first] = -1
+                left = left[(last[end, row] < 0) & (token[left] >= 0)]
+            if (last[end, :n] < 0).any():
+                raise ValueError(f"no token ends at byte {end}")
+        counts, steps, left = np.zeros(len(pieces), np.int64), [], np.arange(len(short))
+        at = size.copy()
+        while len(left := left[at[left] > 0]):
+            token = last[at[left], left]
+            steps.append((left, token))
+            at[left] -= self.lengths[token]
+            counts[short[left]] += 1
+        long = {int(i): self.encode_piece(pieces[i]) for i in order[: len(order) - len(short)]}
+        for i, ids in long.items():
+            counts[i] = len(ids)
+        ends = np.cumsum(counts)
+        flat, to = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32), ends.copy()
+        for left, token in steps:
+            to[short[left]] -= 1
+            flat[to[short[left]]] = token
+        for i, ids in long.items():
+            flat[ends[i] - len(ids) : ends[i]] = ids
+        return flat, counts
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -165,21 +275,31 @@ class PrefixTable:
 
 
 class Encoder(dict):
-    """Text to ids: the pattern's matches one by one, each by the prefix table. Keeps the pieces it has met."""
+    """Text to ids: the pattern's matches one by one, each by the prefix table. Numbers the pieces it has met and keeps their ids."""
 
     _cut = re.compile(r"(?<=[^\s\x00-\x20]) (?=[^\s\x00-\x20])")
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
         self.vocabulary, self.split = vocabulary, regex.compile(pattern)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.flat, self.counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
 
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        ids = self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        at = self[piece] = len(self)
+        return at
+
+    def _learn(self) -> None:
+        for at in range(0, len(self.new), NEW_PIECES):
+            flat, counts = self.vocabulary.encode_pieces([p.encode("utf-8", "surrogatepass") for p in self.new[at : at + NEW_PIECES]])
+            self.flat.append(flat)
+            self.counts.append(counts)
+        self.new = []
 
     def pieces(self, text: str):
         """Lists of matches, over blocks that end where a lone space starts the next match."""
@@ -190,11 +310,37 @@ class Encoder(dict):
             yield self.split.findall(text[at:to] if at or cut else text)
             at = to
 
+    def _ids(self, numbers: list[np.ndarray], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        self._learn()
+        self.flat, self.counts = [np.concatenate(self.flat)], [np.concatenate(self.counts)]
+        of, counts = np.concatenate(numbers or [np.zeros(0, np.int32)]), self.counts[0]
+        stops = np.r_[0, np.cumsum(counts[of])]
+        first = (np.cumsum(counts) - counts)[of]
+        ids = self.flat[0][np.repeat(first - stops[:-1], counts[of]) + np.arange(stops[-1])]
+        return ids, stops[ends]
+
+    def encode_texts(self, texts):
+        """(ids of some texts one after the other, where each ends), block by block, until all texts are told."""
+        if len(self) > CACHE_PIECES:
+            self._forget()
+        numbers, held, ends = [], 0, []
+        for text in texts:
+            for found in self.pieces(text):
+                numbers.append(np.fromiter(map(self.__getitem__, found), np.int32, len(found)))
+                held += len(found)
+                if len(self.new) >= NEW_PIECES:
+                    self._learn()
+            ends.append(held)
+            if held >= BLOCK_PIECES:
+                yield self._ids(numbers, ends)
+                if len(self) > CACHE_PIECES:
+                    self._forget()
+                numbers, held, ends = [], 0, []
+        if ends:
+            yield self._ids(numbers, ends)
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for found in self.pieces(text):
-            out.extend(chain.from_iterable(map(self.__getitem__, found)))
-        return out
+        return next(self.encode_texts([text]))[0].tolist()
 
 
 _LOADED: dict[tuple[str, str], Encoder] = {}
@@ -217,14 +363,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = encoder(path, pattern)
         for b in batches:
-            flat, ends, at = [], [0], 0
-            for i, text in enumerate(b.column(1)):
-                flat.extend(own.encode(text.as_py()))
-                ends.append(len(flat))
-                if len(flat) >= BATCH_IDS or i + 1 == b.num_rows:
-                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, i + 1 - at), ids], ["doc_id", "ids"])
-                    flat, ends, at = [], [0], i + 1
+            at = 0
+            for ids, ends in own.encode_texts(x.as_py() for x in b.column(1)):
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), listed], ["doc_id", "ids"])
+                at += len(ends)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of(docs).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
