@@ -28,9 +28,14 @@ SAMPLE_ROWS, LABELS, SAMPLE_CHARS = 300, 256, 20_000
 SEQUENCES, LENGTH, ROUNDS = 3000, 48, 40
 #: Labels that SEQUENCES do for; more labels get more of them, handled in as many parts.
 SEQUENCE_LABELS = 64
-BUCKETS, LEXICON = 1 << 16, 200
-#: Words a worker remembers, and words that one block of forward-backward holds.
-CACHE_WORDS, BLOCK_WORDS = 400_000, 400_000
+BUCKET_BITS, LEXICON = 16, 200
+BUCKETS = 1 << BUCKET_BITS
+#: Words a worker remembers, scores at once, and that one block of forward-backward holds.
+CACHE_WORDS, SCORE_WORDS, BLOCK_WORDS = 400_000, 100_000, 200_000
+#: New words whose features are taken side by side.
+NEW_WORDS = 10_000
+#: Odd factors of the feature hashes.
+MIX = np.random.default_rng(42).integers(0, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -47,46 +52,139 @@ def words_of(text: str) -> list[str]:
     return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed feature buckets of a whole word."""
-    padded = f"^{word}$"
-    names = [f"p{padded[:k]}" for k in (2, 3, 4)] + [f"s{padded[-k:]}" for k in (2, 3, 4)]
-    names += [padded[i : i + k] for k in (1, 2, 3) for i in range(len(padded) - k + 1)]
-    if word in lexicon:
-        names += [f"l{word}", "l"]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
+def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed feature buckets of whole words: (whose, bucket) pairs in no order.
+
+    A word stands between ^ and $. It has its first and last 2, 3 and 4 letters,
+    all runs of 1, 2 and 3 letters and, if the lexicon lists it, itself.
+    """
+    lengths = np.array([len(w) + 2 for w in words])
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    flat = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    everyone = np.arange(len(words))
+    owner = np.repeat(everyone, lengths)
+    rest = np.repeat(starts + lengths, lengths) - np.arange(flat.size)
+    runs = [flat + np.uint64(1)]  # runs[k - 1] has at each place the hash of the k letters from there
+    for k in range(1, 4):
+        runs.append(runs[-1].copy())
+        runs[-1][:-k] = runs[-1][:-k] * MIX[0] + flat[k:]
+    whose, hashes = [], []
+    for k in (1, 2, 3):
+        fits = rest >= k
+        whose.append(owner[fits])
+        hashes.append(runs[k - 1][fits] * MIX[1])
+    runs = np.stack(runs)
+    for k in (2, 3, 4):
+        width = np.minimum(k, lengths)
+        for mix, at in ((MIX[2], starts), (MIX[3], starts + lengths - width)):
+            whose.append(everyone)
+            hashes.append(runs[width - 1, at] * mix)
+    whose, bucket = np.concatenate(whose), (np.concatenate(hashes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    listed = [(i, w) for i, w in enumerate(words) if w in lexicon]
+    own = [zlib.crc32(f"l{w}".encode("utf-8", "surrogatepass")) % BUCKETS for _, w in listed]
+    at = np.array([i for i, _ in listed], np.int64)
+    return np.concatenate([whose, at, at]), np.concatenate([bucket, np.array(own, np.int64), np.full(at.size, zlib.crc32(b"l") % BUCKETS)])
+
+
+def word_scores(whose: np.ndarray, bucket: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Scores by word and label: a word's summed feature weights over the square root of their number. ``weights``: label by bucket."""
+    scale = np.maximum(np.bincount(whose, minlength=n), 1) ** -0.5
+    return np.stack([np.bincount(whose, row[bucket], n) * scale for row in weights], axis=1)
+
+
+class Numbered(dict):
+    """Numbers for words in the order they are met; ``new`` lists those not yet scored."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        at = self[word] = len(self)
+        return at
 
 
 class Model:
     def __init__(self, labels: list[str], lexicon: frozenset[str], weights: np.ndarray, moves: np.ndarray, start: np.ndarray):
         self.labels, self.lexicon, self.weights, self.moves, self.start = labels, lexicon, weights, moves, start
-        self._rows: dict[str, int] = {}
-        self._table = np.zeros((1024, len(labels)), np.float32)
-
-    def _index(self, word: str) -> int:
-        at = len(self._rows)
-        if at == len(self._table):
-            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-        found = features(word, self.lexicon)
-        self._table[at] = self.weights[found].sum(axis=0) / len(found) ** 0.5
-        self._rows[word] = at
-        return at
+        self._forget()
+
+    def __getstate__(self):
+        return {"labels": self.labels, "lexicon": self.lexicon, "weights": self.weights, "moves": self.moves, "start": self.start}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._rows, self._table = Numbered(), np.zeros((0, len(self.labels)), np.float32)
+
+    def _learn(self) -> None:
+        new, self._rows.new = self._rows.new, []
+        scores = [self._table]
+        for at in range(0, len(new), NEW_WORDS):
+            some = new[at : at + NEW_WORDS]
+            scores.append(word_scores(*features(some, self.lexicon), self.weights, len(some)).astype(np.float32))
+        self._table = np.concatenate(scores)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        if len(self._rows) + len(words) > CACHE_WORDS + BLOCK_WORDS:
-            self._rows.clear()
-        get, add = self._rows.get, self._index
-        at = [i if (i := get(w)) is not None else add(w) for w in words]
-        return self._table[at]
-
-    def posterior_mass(self, texts: list[list[str]]) -> np.ndarray:
-        """The sum of word posteriors of each text, by label."""
-        lengths = np.array([len(t) for t in texts])
-        scores = self.emissions(list(chain.from_iterable(texts)))
-        posterior = forward_backward(scores, lengths, self.moves, self.start)
-        ends = np.r_[0, np.cumsum(lengths)]
-        sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(posterior, axis=0, dtype=np.float64)])
-        return sums[ends[1:]] - sums[ends[:-1]]
+        """Scores by word and label."""
+        return self._emissions([words])[0]
+
+    def _emissions(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self._rows) > CACHE_WORDS:
+            self._forget()
+        of = self._rows.__getitem__
+        rows = [np.fromiter(map(of, t), np.int32, len(t)) for t in texts]
+        self._learn()
+        return [self._table[at] for at in rows]
+
+    def posterior_mass(self, texts) -> np.ndarray:
+        """The sum of word posteriors of each text, a list of words, by label; zeros for one without words.
+
+        Texts of about one length are handled side by side, as a step of
+        forward-backward takes one word of each.
+        """
+        out: dict[int, np.ndarray] = {}
+        pools: dict[int, list[tuple[int, np.ndarray]]] = {}
+        sizes: dict[int, int] = {}
+        waiting, held = [], 0
+
+        def flush(size: int):
+            pool = pools.pop(size, [])
+            sizes.pop(size, 0)
+            for (i, _), mass in zip(pool, self._sums([e for _, e in pool])):
+                out[i] = mass
+
+        def score():
+            for (i, _), e in zip(waiting, self._emissions([w for _, w in waiting])):
+                size = len(e).bit_length()
+                pools.setdefault(size, []).append((i, e))
+                sizes[size] = sizes.get(size, 0) + len(e)
+                if sizes[size] >= BLOCK_WORDS:
+                    flush(size)
+            waiting.clear()
+
+        n = 0
+        for n, words in enumerate(texts, 1):
+            if words:
+                waiting.append((n - 1, words))
+                held += len(words)
+                if held >= SCORE_WORDS:
+                    score()
+                    held = 0
+        score()
+        for size in list(pools):
+            flush(size)
+        zero = np.zeros(len(self.labels))
+        return np.stack([out.get(i, zero) for i in range(n)]) if n else np.zeros((0, len(self.labels)))
+
+    def _sums(self, scores: list[np.ndarray]) -> np.ndarray:
+        lengths = np.array([len(t) for t in scores])
+        posterior = forward_backward(np.concatenate(scores), lengths, self.moves, self.start)
+        return np.add.reduceat(posterior, np.cumsum(lengths) - lengths, axis=0)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -148,7 +246,7 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 1, sequences: int =
     """A model from (label, words) pairs, by gradient ascent on the likelihood of strung-together sequences."""
     labels = sorted({label for label, words in samples if words})
     if not labels:
-        return Model([UNKNOWN], frozenset(), np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)), np.zeros(1))
+        return Model([UNKNOWN], frozenset(), np.zeros((1, BUCKETS), np.float32), np.zeros((1, 1)), np.zeros(1))
     rnd = np.random.default_rng(seed)
     pool = {label: [w for who, w in samples if who == label and w] for label in labels}
     common: set[str] = set()
@@ -174,28 +272,26 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 1, sequences: int =
         words += row
     names = {w: i for i, w in enumerate(dict.fromkeys(words))}
     at = np.array([names[w] for w in words])
-    listed = [features(w, lexicon) for w in names]
-    owner = np.repeat(np.arange(len(listed)), [len(f) for f in listed])
-    bucket = np.array(list(chain.from_iterable(listed)))
-    scale = np.array([len(f) ** -0.5 for f in listed])
+    owner, bucket = features(list(names), lexicon)
+    scale = np.bincount(owner, minlength=len(names)) ** -0.5
     k, gold = len(labels), np.array(gold)
     parts = np.array_split(np.arange(sequences), (-(-k // SEQUENCE_LABELS)) ** 2)
     pairs = gold.reshape(-1, length)
     seen = np.zeros((k, k))
     np.add.at(seen, (pairs[:, :-1].ravel(), pairs[:, 1:].ravel()), 1)
-    weights, moves, start = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)
+    weights, moves, start = np.zeros((k, BUCKETS)), np.zeros((k, k)), np.zeros(k)
     memory = [np.zeros_like(weights), np.zeros_like(moves)]
     for _ in range(rounds):
-        value = np.stack([np.bincount(owner, weights[bucket, j], len(listed)) for j in range(k)], axis=1) * scale[:, None]
-        by_word, expected = np.zeros((len(listed), k)), np.zeros((k, k))
+        value = word_scores(owner, bucket, weights, len(names))
+        by_word, expected = np.zeros((len(names), k)), np.zeros((k, k))
         for part in filter(len, parts):
             own = slice(part[0] * length, (part[-1] + 1) * length)
             posterior, pair = pair_expectation(value[at[own]], len(part), length, moves, start)
             slope = (np.eye(k)[gold[own]] - posterior) / len(at)
-            by_word += np.stack([np.bincount(at[own], slope[:, j], len(listed)) for j in range(k)], axis=1) * scale[:, None]
+            by_word += np.stack([np.bincount(at[own], slope[:, j], len(names)) for j in range(k)], axis=1) * scale[:, None]
             expected += pair
         grads = [
-            np.stack([np.bincount(bucket, by_word[owner, j], BUCKETS) for j in range(k)], axis=1) - 1e-7 * weights,
+            np.stack([np.bincount(bucket, by_word[owner, j], BUCKETS) for j in range(k)]) - 1e-7 * weights,
             (seen - expected) / len(at) - 1e-7 * moves,
         ]
         for x, g, m in zip((weights, moves), grads, memory):  # AdaGrad
@@ -243,28 +339,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels floats, whatever the corpus
 
-    def flush(ids, texts):
-        mass = shared.value.posterior_mass([t for t in texts if t])
-        best = iter(zip(mass.argmax(axis=1), mass.max(axis=1) / np.maximum(mass.sum(axis=1), 1e-300)))
-        labels, scores = [], []
-        for t in texts:
-            k, s = next(best) if t else (None, 0.0)
-            labels.append(UNKNOWN if k is None else shared.value.labels[k])
-            scores.append(float(s))
-        return pa.RecordBatch.from_arrays([ids, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
     def run(batches):
+        own = shared.value
         for b in batches:
-            texts, held, at = [], 0, 0
-            for i, x in enumerate(b.column(1)):
-                words = words_of(x.as_py() or "")
-                texts.append(words)
-                held += len(words)
-                if held >= BLOCK_WORDS:
-                    yield flush(b.column(0).slice(at, i + 1 - at), texts)
-                    texts, held, at = [], 0, i + 1
-            if texts:
-                yield flush(b.column(0).slice(at), texts)
+            mass = own.posterior_mass(words_of(x.as_py() or "") for x in b.column(1))
+            total = mass.sum(axis=1)
+            told = total > 0
+            labels = pa.array(np.where(told, np.array(own.labels, object)[mass.argmax(axis=1)], UNKNOWN), pa.string())
+            scores = np.where(told, mass.max(axis=1) / np.maximum(total, 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), labels, pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -286,21 +369,8 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(texts: pa.Array) -> pa.Array:
-        out, block, held = [], [], 0
-
-        def flush():
-            mass = shared.value.posterior_mass([t for t in block if t])
-            share = iter(mass.max(axis=1) / np.maximum(mass.sum(axis=1), 1e-300))
-            out.extend(bool(t) and bool(next(share) >= MIN_SHARE) for t in block)
-
-        for x in texts:
-            block.append(words_of(x.as_py() or ""))
-            held += len(block[-1])
-            if held >= BLOCK_WORDS:
-                flush()
-                block, held = [], 0
-        if block:
-            flush()
-        return pa.array(out, pa.bool_())
+        mass = shared.value.posterior_mass(words_of(x.as_py() or "") for x in texts)
+        total = mass.sum(axis=1)
+        return pa.array((total > 0) & (mass.max(axis=1) >= MIN_SHARE * total))
 
     return docs.where(F.arrow_udf(told, "boolean")(F.col("text").cast("string")))

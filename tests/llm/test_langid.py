@@ -90,4 +90,48 @@ def test_a_long_word_is_judged_whole():
     words = langid.words_of(en + de + en)
     assert "".join(words) == en + de + en and max(map(len, words)) <= langid.PIECE
     assert model.labels[model.posterior_mass([words])[0].argmax()] == "de"
-    assert langid.features("a" * 60 + "b" * 60, frozenset()) != langid.features("a" * 60 + "c" + "b" * 59, frozenset())
+    whose, bucket = langid.features(["a" * 60 + "b" * 60, "a" * 60 + "c" + "b" * 59], frozenset())
+    assert set(bucket[whose == 0]) != set(bucket[whose == 1])
+
+
+def test_features_match_brute_force():
+    """Equal names give equal buckets, and each word has as many as it has affixes and n-grams."""
+    words, lexicon = ["a", "ab", "the", "thé", "then", "weather", "straße", "日本"], frozenset(["the", "ab"])
+    whose, bucket = langid.features(words, lexicon)
+    seen = {}
+    for i, w in enumerate(words):
+        padded = f"^{w}$"
+        names = [("p", padded[:k]) for k in (2, 3, 4)] + [("s", padded[-k:]) for k in (2, 3, 4)]
+        names += [("g", padded[j : j + k]) for k in (1, 2, 3) for j in range(len(padded) - k + 1)]
+        names += [("l", w), ("l", "")] * (w in lexicon)
+        got = sorted(bucket[whose == i])
+        assert len(got) == len(names)
+        for name in names:
+            alone = seen.setdefault(name, set())
+            alone.add(i)
+        seen[i] = got
+    shares = lambda a, b: len(set(seen[a]) & set(seen[b]))
+    same = lambda a, b: sum(a in v and b in v for k, v in seen.items() if isinstance(v, set))
+    for a in range(len(words)):
+        for b in range(a):
+            assert shares(a, b) == same(a, b)
+
+
+def test_report_matches_brute_force(make_docs):
+    """The whole query against path enumeration: labels and shares of short texts, one by one."""
+    rows = [(i, " ".join(t.split()[:5]), g) for i, t, g in corpus(60)] + [(900, None), (901, " 1 2 "), (902, "the der la")]
+    docs = make_docs(rows, extra=True)
+    model = langid.train(langid.training_sample(docs.where(~langid.held_out(docs["doc_id"]))))
+    k = len(model.labels)
+    for r in langid.language_report(docs).collect():
+        words = langid.words_of(dict((x[0], x[1]) for x in rows)[r.doc_id] or "")
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        emit, mass, total = model.emissions(words), np.zeros(k), 0.0
+        for path in itertools.product(range(k), repeat=len(words)):
+            p = np.exp(model.start[path[0]] + sum(emit[t, j] for t, j in enumerate(path)) + sum(model.moves[a, b] for a, b in zip(path, path[1:])))
+            total += p
+            for j in path:
+                mass[j] += p
+        assert r.lang_pred == model.labels[int(mass.argmax())] and abs(r.score - mass.max() / total / len(words)) < 1e-5
