@@ -82,7 +82,11 @@ _ROW = "case string, pos int, kind string, id string, type string, children arra
 
 
 def card_rows(cards: DataFrame, case: str, card: str) -> DataFrame:
-    """A row for each component and data row of each card that reads: ``case, pos, kind, id, type, children, path, body``."""
+    """A row for each component and data row of each card: ``case, pos, kind, id, type, children, path, body``.
+
+    A card that does not read gives one row of kind ``error``, with the kind of
+    error as type and its message as body.
+    """
 
     def run(batches):
         for b in batches:
@@ -90,7 +94,8 @@ def card_rows(cards: DataFrame, case: str, card: str) -> DataFrame:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     read = rows.read_card(text)
-                except (rows.CardError, ValueError, TypeError, AttributeError):
+                except (rows.CardError, ValueError, TypeError, AttributeError, RecursionError) as e:
+                    out.append((name, 0, "error", None, getattr(e, "kind", "invalid"), None, None, str(e)))
                     continue
                 for pos, c in enumerate(read.components):
                     out.append((name, pos, "component", c.id, c.type, list(c.children), None, document.compact(c.props)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ def conflicting_labels(df: DataFrame, text: str, label: str) -> DataFrame:
 
 
 def word_ngrams(text: Column, n: int) -> Column:
-    """Distinct n-word runs of the lower-case words of a text."""
-    words = F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    """Distinct n-word runs of the lower-case words, runs of letters, marks and digits of any script, of a text."""
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
 
     def runs(w: Column) -> Column:
         heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
@@ -114,25 +117,33 @@ def component_counts(components: DataFrame, kind: str = "type") -> DataFrame:
     return components.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("case").alias("cases"))
 
 
+def _shape(cards: pa.Array) -> pa.Array:
+    """Orphans and depth of each card, a list of ``id, children``."""
+    out = []
+    for card in cards.to_pylist():
+        children = {c["id"]: c["children"] or [] for c in card}
+        owned = set(chain.from_iterable(children.values()))
+        depth, level = 0, {"root"} & children.keys()
+        while level and depth < len(children):  # a path longer than the card goes in a circle
+            depth, level = depth + 1, {x for i in level for x in children.get(i, ()) if x in children}
+        out.append({"orphans": sum(c["id"] != "root" and c["id"] not in owned for c in card), "max_depth": depth})
+    return pa.array(out, pa.struct([("orphans", pa.int64()), ("max_depth", pa.int32())]))
+
+
 def structure_stats(components: DataFrame) -> DataFrame:
     """Per case, of ``components(case, id, type, children)``: size, single-child stacks, empty containers, orphans, depth.
 
-    Depth follows parent links for at most 64 levels, in rounds of joins over all cases at once.
+    A case is one card, whose rows come together in one shuffle. Depth is the
+    number of levels below and with the root, however many; it is 0 without a
+    root, and the number of components if the links go in a circle.
     """
-    edges = components.select("case", F.col("id").alias("parent"), F.explode("children").alias("id"))
-    orphans = components.where("id <> 'root'").join(edges.select("case", "id").distinct(), ["case", "id"], "left_anti").groupBy("case").agg(F.count(F.lit(1)).alias("orphans"))
-    level = components.where("id = 'root'").select("case", F.col("id").alias("parent"), F.lit(1).alias("depth"))
-    depth = level.groupBy("case").agg(F.max("depth").alias("max_depth"))
-    for _ in range(64):
-        level = level.join(edges, ["case", "parent"]).select("case", F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            break
-        depth = depth.unionByName(level.groupBy("case").agg(F.max("depth").alias("max_depth")))
     per = components.groupBy("case").agg(
         F.count(F.lit(1)).alias("components"), F.count_if((F.col("type") == "Stack") & (F.size("children") == 1)).alias("single_child_stacks"),
         F.count_if(F.col("type").isin("Row", "Column", "List", "Stack") & (F.size("children") == 0)).alias("empty_containers"),
+        F.collect_list(F.struct("id", "children")).alias("_card"),
     )
-    return per.join(orphans, "case", "left").join(depth.groupBy("case").agg(F.max("max_depth").alias("max_depth")), "case", "left").fillna(0)
+    shape = F.arrow_udf(_shape, "struct<orphans:long,max_depth:int>")(F.col("_card"))
+    return per.withColumn("_shape", shape).select("case", "components", "single_child_stacks", "empty_containers", "_shape.*")
 
 
 def style_stats(props: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,24 +35,26 @@ def _ends(samples: int) -> tuple[int, int]:
     return round((samples - 1) * 0.025), round((samples - 1) * 0.975)
 
 
+#: Chances that a row is drawn at most 0, 1, 2, ... times in a resample: the Poisson distribution of mean 1.
+DRAWN = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
+
+
 def bootstrap_by_hash(differences: DataFrame, index: str, value: str, samples: int = 1000, seed: int = 42) -> DataFrame:
-    """``low, high`` of the mean difference by resampling with hashed draws; ``index`` runs 0 .. n-1.
+    """``low, high`` of the mean difference by Poisson resampling; ``index`` tells rows apart.
 
-    Draw j of resample b takes row md5(seed|b|j) mod n. A row's number of draws
-    does not depend on its value, so draws are counted by row first and joined
-    to the values once; sums are pre-aggregated by resample.
+    In resample b a row counts as often as a Poisson number of mean 1, which
+    the hash md5(seed|b|index) picks. So a row's numbers need no other row, sums
+    are pre-aggregated where the rows are, and one row a task and resample is
+    shuffled. Null values are left out; no rows give one row of nulls.
     """
-    n = differences.count()
-    if not n:
-        return differences.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
-    spark = differences.sparkSession
-    draws = spark.range(samples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "j")), 1, 8), 16, 10).cast("long") % n
-    counts = draws.select("b", hashed.alias(index)).groupBy("b", index).agg(F.count(F.lit(1)).alias("times"))
-    means = counts.join(differences.select(index, value), index).groupBy("b").agg((F.sum(F.col(value) * F.col("times")) / n).alias("mean"))
-    low, high = _ends(samples)
-    ranked = means.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # one number a resample
-    return ranked.select(F.element_at("m", low + 1).alias("low"), F.element_at("m", high + 1).alias("high"))
+    rows = differences.where(F.col(value).isNotNull()).select(index, F.col(value).alias("_v"))
+    draws = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    picked = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_b", F.col(index).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = sum((picked >= c).cast("int") for c in DRAWN)
+    means = draws.select("_b", "_v", times.alias("_n")).groupBy("_b").agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))
+    ranked = means.where("mean is not null").agg(F.array_sort(F.collect_list("mean")).alias("m"))  # one number a resample
+    at = lambda share: F.get("m", F.greatest(F.lit(0), F.round((F.size("m") - 1) * share).cast("int")))
+    return ranked.select(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def bootstrap_exact(differences: DataFrame, order: str, value: str, samples: int = 10_000, seed: int = 42) -> DataFrame:

@@ -88,30 +88,35 @@ def card_mending(t: Tables) -> DataFrame:
     return made.select("p_partkey", F.when(F.col("r.ok"), F.col("r.text") == F.col("card")).alias("unchanged"))
 
 
-def _good_rows(t: Tables) -> DataFrame:
+def _card_rows(t: Tables) -> DataFrame:
     return C.card_rows(_cards(t), "p_partkey", "card")
 
 
+@query(f"""SELECT CAST(p_partkey AS VARCHAR) AS "case", {_KIND} AS error_type FROM part WHERE p_partkey % 10 IN (1, 2, 3, 4)""", python=True)
+def unreadable_cards(t: Tables) -> DataFrame:
+    return _card_rows(t).where("kind = 'error'").select("case", F.col("type").alias("error_type"))
+
+
 @query("SELECT type, count(*) * k AS n, count(*) AS cases FROM part, (SELECT unnest([1, 1, 1, 2]) AS k, unnest(['Column', 'Text', 'Progress', 'ActionUnit']) AS type) WHERE p_partkey % 10 NOT IN (1, 2, 3, 4) GROUP BY type, k", python=True)
 def component_counts(t: Tables) -> DataFrame:
-    return audit.component_counts(_good_rows(t).where("kind = 'component'"))
+    return audit.component_counts(_card_rows(t).where("kind = 'component'"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS \"case\", 5 AS components, 0 AS single_child_stacks, 0 AS empty_containers, 0 AS orphans, 2 AS max_depth FROM part WHERE p_partkey % 10 NOT IN (1, 2, 3, 4)", python=True)
 def structure_stats(t: Tables) -> DataFrame:
-    return audit.structure_stats(_good_rows(t).where("kind = 'component'").select("case", "id", "type", "children"))
+    return audit.structure_stats(_card_rows(t).where("kind = 'component'").select("case", "id", "type", "children"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS \"case\", id, path FROM part, (SELECT unnest(['t', 'b']) AS id, unnest(['/data/part/name', '/data/part/size']) AS path) WHERE p_partkey % 10 NOT IN (1, 2, 3, 4)", python=True)
 def binding_rows(t: Tables) -> DataFrame:
-    return C.bindings(_good_rows(t)).select("case", "id", "path")
+    return C.bindings(_card_rows(t)).select("case", "id", "path")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS \"case\", 'b' AS id FROM part WHERE p_partkey % 10 NOT IN (1, 2, 3, 4) AND p_partkey % 3 = 0", python=True)
 def undeclared_bindings(t: Tables) -> DataFrame:
     size = F.when(F.col("p_partkey") % 3 == 0, '').otherwise(',"size":{"type":"integer"}')
     tasks = t.part.select(F.col("p_partkey").cast("string").alias("case"), F.concat(F.lit('{"data":{"part":{"name":{"type":"string"}'), size, F.lit("}}}")).alias("schema"))
-    return C.undeclared_bindings(_good_rows(t), C.schema_paths(tasks, "case", "schema")).select("case", "id")
+    return C.undeclared_bindings(_card_rows(t), C.schema_paths(tasks, "case", "schema")).select("case", "id")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '/a,/b/c' WHEN 1 THEN NULL WHEN 2 THEN '/a' ELSE NULL END AS paths FROM part""", python=True)

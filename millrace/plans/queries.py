@@ -403,20 +403,21 @@ def paired_rates(t: Tables) -> DataFrame:
     return compare.rates(_flags(t), "before", "after").select(*(F.round(c, 6).alias(c) for c in ("before_rate", "after_rate", "delta")))
 
 
-@query("""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, toxic - quality AS v, count(*) OVER () AS n FROM labels),
-x AS (SELECT b, ('0x' || substr(md5('42|' || b || '|' || j), 1, 8))::BIGINT % (SELECT max(n) FROM d) AS i FROM range(100) t(b), range((SELECT max(n) FROM d)) u(j)),
-m AS (SELECT b, sum(v) / (SELECT max(n) FROM d)::DOUBLE AS mean FROM x JOIN d USING (i) GROUP BY b),
+_DRAWN_SQL = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in compare.DRAWN)
+
+
+@query(f"""WITH x AS (SELECT b, toxic - quality AS v, ('0x' || substr(md5('42|' || b || '|' || doc_id), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM labels, range(1000) t(b)),
+m AS (SELECT b, sum(v * n) / sum(n)::DOUBLE AS mean FROM (SELECT b, v, {_DRAWN_SQL} AS n FROM x) GROUP BY b),
 s AS (SELECT list(mean ORDER BY mean) AS l FROM m)
-SELECT round(l[3], 6) AS low, round(l[98], 6) AS high FROM s""")
+SELECT round(l[26], 6) AS low, round(l[975], 6) AS high FROM s""")
 def bootstrap_ci_hash(t: Tables) -> DataFrame:
-    i = F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1
-    d = t.labels.select(i.alias("i"), (F.col("toxic") - F.col("quality")).alias("v"))
-    return compare.bootstrap_by_hash(d, "i", "v", samples=100).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    d = t.labels.select("doc_id", (F.col("toxic") - F.col("quality")).alias("v"))
+    return compare.bootstrap_by_hash(d, "doc_id", "v").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query(python=True)
 def bootstrap_ci_exact(t: Tables) -> DataFrame:
-    return compare.bootstrap_exact(t.labels.select("doc_id", (F.col("toxic") - F.col("quality")).alias("v")), "doc_id", "v", samples=200)
+    return compare.bootstrap_exact(t.labels.select("doc_id", (F.col("toxic") - F.col("quality")).alias("v")), "doc_id", "v")
 
 
 _REWARD_SQL = "SELECT event_id, user_id, (event_type <> 'error')::INT::DOUBLE AS reward FROM events"
@@ -503,10 +504,10 @@ def split_concat(t: Tables) -> DataFrame:
     return a.unionByName(t.supplier.select(F.lit("supplier").alias("split"), F.col("s_suppkey").alias("id")))
 
 
-@query("""SELECT k, 'left' AS side FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)
-UNION ALL SELECT k, 'right' FROM (SELECT s_nationkey AS k FROM supplier EXCEPT SELECT c_nationkey FROM customer)""")
+@query("""SELECT k, 'left' AS side FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT s_suppkey FROM supplier)
+UNION ALL SELECT k, 'right' FROM (SELECT s_suppkey AS k FROM supplier EXCEPT SELECT o_custkey FROM orders)""")
 def set_difference(t: Tables) -> DataFrame:
-    return pairing.symmetric_difference(t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")), "k")
+    return pairing.symmetric_difference(t.orders.select(F.col("o_custkey").alias("k")), t.supplier.select(F.col("s_suppkey").alias("k")), "k")
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")
@@ -532,13 +533,13 @@ def exact_duplicates(t: Tables) -> DataFrame:
     return audit.exact_duplicates(t.documents, "text")
 
 
-@query("""SELECT sha256(text) AS sha256, count(*) AS copies, min(quality) AS low, max(quality) AS high FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING min(quality) <> max(quality)""")
+@query("""SELECT sha256(source) AS sha256, count(*) AS copies, min(quality) AS low, max(quality) AS high FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING min(quality) <> max(quality)""")
 def conflicting_labels(t: Tables) -> DataFrame:
-    return audit.conflicting_labels(t.documents.join(t.labels, "doc_id"), "text", "quality")
+    return audit.conflicting_labels(t.documents.join(t.labels, "doc_id"), "source", "quality")
 
 
 _GRAM_SQL = "list_distinct(list_transform(range(1, greatest(len(w) - {k} + 1, 1)), lambda i: array_to_string(w[i:i+{k}-1], ' ')))".replace("range(1, greatest(len(w) - {k} + 1, 1))", "range(1, greatest(len(w) - {k} + 2, 1))")
-_WORDS_SQL = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda x: x <> '') AS w"
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS w"
 
 
 @query(f"""WITH t AS (SELECT min(doc_id) AS id, any_value(text) AS x FROM documents GROUP BY text), g AS (SELECT id, {_GRAM_SQL.format(k=5)} AS s FROM (SELECT id, {_WORDS_SQL.format(c='x')} FROM t)),

@@ -135,6 +135,9 @@ def _window(kind: str):
     return Window.orderBy(kind)  # one row a kind of failure
 
 
-def as_rows(df: DataFrame) -> list[Row]:
-    """A report's few rows on the driver."""
-    return df.limit(10_000).collect()
+def as_rows(df: DataFrame, most: int = 10_000) -> list[Row]:
+    """A report's few rows on the driver; an error if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
