@@ -29,6 +29,8 @@ TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1500, 3000, 20_000
 TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 16 << 10, 64 << 10, 150_000
 #: A window is typical of toxic text if so many toxic rows have it, and so much more often than ordinary rows.
 LEAST_ROWS, LEAST_RATIO = 4, 8.0
+#: Windows of either kind below which no dictionary is trained and all scores are 0.
+LEAST_WINDOWS = 200
 MARGINS = (2, 3, 4, 5, 6, 7)
 LEVEL, CUT = 16, 0.7
 CACHE_WORDS, BLOCK_WORDS = 400_000, 400_000
@@ -45,11 +47,8 @@ def window(word: str) -> bytes:
 
 
 def train_dictionary(windows: list[bytes], size: int) -> bytes:
-    """Dictionary bytes for windows; the windows themselves if they are too few to train on."""
-    try:
-        return zstandard.train_dictionary(size, windows, level=LEVEL).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return (b"".join(dict.fromkeys(w[len(CARRIER) :] for w in windows)) + CARRIER * 2)[-size:]
+    """Dictionary bytes for at least LEAST_WINDOWS windows; ``zstandard.ZstdError`` if none can be trained."""
+    return zstandard.train_dictionary(size, windows, level=LEVEL).as_bytes()
 
 
 def _compressor(dictionary: bytes):
@@ -118,6 +117,8 @@ def fit_dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> Model
         return None
     marked = [window(w) for t in toxic for w in t if w in typical]
     plain = list(chain.from_iterable(ordinary))
+    if min(len(marked), len(plain)) < LEAST_WINDOWS:
+        return None
     step = max(1, len(plain) // ORDINARY_WINDOWS)
     return Model(train_dictionary(marked, TOXIC_BYTES), train_dictionary([window(w) for w in plain[::step]], ORDINARY_BYTES))
 
@@ -142,7 +143,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.5
 
 
 def train(samples: list[tuple[int, list[str]]]) -> Model:
-    """A model from (label, words) pairs; one that scores 0 throughout if a label or typical windows are missing."""
+    """A model from (label, words) pairs; one that scores 0 throughout if a label or LEAST_WINDOWS typical windows are missing."""
     halves, ys, xs = [samples[0::2], samples[1::2]], [], []
     split = lambda part, label: [w for y, w in part if y == label]
     model = fit_dictionaries(split(samples, 1), split(samples, 0)) if split(samples, 1) and split(samples, 0) else None
@@ -203,6 +204,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of each row, by a model of the labelled rows that are not held out."""
+    """``doc_id, held_out, score, predicted`` of each row, by a model of the labelled rows that are not held out.
+
+    Null counts as empty. With too little to learn from (see ``train``) all
+    scores are 0. Of several labels of a doc_id the largest counts; labels
+    without doc_id are not learned. Repeated rows and null doc_ids (not held
+    out) are scored by their texts; other columns are not read; no rows give no
+    rows.
+    """
     scored = predict(docs, train(training_sample(docs, labels)))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -1,6 +1,10 @@
+import math
 import random
 import zlib
 
+import numpy as np
+import zstandard
+
 from millrace.llm import toxicity
 
 BAD = ["idiotic", "wretched", "vermin", "scoundrel"]
@@ -49,3 +53,27 @@ def test_the_label_of_a_held_out_row_is_not_learned(spark, make_docs):
 def test_no_labels_and_no_rows(spark, make_docs):
     assert [r.score for r in report(spark, make_docs, [], [(1, "text")])] == [0.0]
     assert report(spark, make_docs, []) == []
+
+
+def test_scores_match_plain_zstandard(spark, make_docs, odd_rows):
+    """The whole query against compression by hand: margins word by word, counts, and the logistic curve."""
+    rows = corpus(400)
+    docs = make_docs([r[:2] for r in rows] + [(10_000 + i, t) for i, (_, t) in enumerate(odd_rows)])
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(toxicity.training_sample(docs, labels))
+    got = {r.doc_id: r.score for r in toxicity.predict(docs, model).collect()}
+    options = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(data, dictionary):
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=options).compress(data))
+
+    for r in docs.collect()[:120] + docs.collect()[-13:]:
+        words = toxicity.words_of(r.text or "")
+        margin = {w: length(toxicity.window(w), model.ordinary) - length(toxicity.window(w), model.toxic) for w in set(words)}
+        hits = [sum(margin[w] >= m for w in words) for m in toxicity.MARGINS]
+        x = [math.log1p(h) for h in hits] + [math.log1p(100 * h / max(1, len(words))) for h in hits] + [math.log1p(len(words)) / 5, 1.0]
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-float(np.dot(x, model.curve))))) < 1e-9
+
+
+def test_too_little_to_learn_scores_zero(spark, make_docs):
+    assert {r.score for r in report(spark, make_docs, corpus(40))} == {0.0}
