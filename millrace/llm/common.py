@@ -22,12 +22,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it; a lone session gets one of its own."""
+    """The folder all executors share. The cluster names it; a session in which all run on one machine gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -67,3 +69,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Rows up to which the slim side of a join with texts is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written slim table, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def row_key(text) -> list[Column]:
+    """Two hashes that tell texts with one doc_id apart."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("row"), text)]
+
+
+def same_row(left: DataFrame, own: list[str], right: DataFrame, how: str) -> DataFrame:
+    """Join by doc_id and both parts of the text's hash, ``own`` in ``left``; ``right``, a written table, has them as ``_id, _k1, _k2``."""
+    names = fresh(left, "row_id", "row_k1", "row_k2")
+    right = small(right).withColumnsRenamed(dict(zip(("_id", "_k1", "_k2"), names)))
+    on = F.col("doc_id").eqNullSafe(F.col(names[0]))
+    return left.join(right, on & (F.col(own[0]) == F.col(names[1])) & (F.col(own[1]) == F.col(names[2])), how)

@@ -354,7 +354,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of each row, by a model of the rows that are not held out."""
+    """``doc_id, held_out, lang_pred, score`` of each row, by a model of the rows that are not held out.
+
+    Null, empty and letterless texts are ``und`` with score 0, as are all if no
+    row has a label to learn. Repeated rows and null doc_ids (not held out) are
+    judged by their texts; other columns are not read; no rows give no rows.
+    """
     model = train(training_sample(docs.where(~held_out(F.col("doc_id")))))
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -364,7 +369,12 @@ MIN_SHARE = 0.4
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language cannot be told. Null doc_ids are judged by their own texts."""
+    """``docs`` without the documents whose language cannot be told: null, empty and letterless texts, and those under MIN_SHARE.
+
+    Without a label to learn all letters speak for one unknown language, and
+    texts with letters stay. Repeated rows and null doc_ids are judged by their
+    own texts; columns stay as they are; no rows give no rows.
+    """
     model = train(training_sample(docs.where(~held_out(F.col("doc_id")))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

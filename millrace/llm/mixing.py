@@ -132,6 +132,9 @@ def mix_corpus(docs: DataFrame, ramps=RAMPS, **options) -> DataFrame:
     starts k source sizes further on in its stream, and the demand is inverted
     there. Occurrences are range-sorted by that position. A document of which
     nothing is taken goes, unless it has no words: such documents stay, first.
+    Null text: no words; null source: a source, ranked last. Rows that share a
+    doc_id, null too, share one verdict, the most that is taken of one of them,
+    so their source may come out above its target. No rows give no rows.
     """
     key, times, start, turn, place = fresh(docs, "mix_id", "mix_times", "mix_start", "mix_pass", "mix_position")
     occurrences = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")

@@ -2,12 +2,14 @@
 
 A fingerprint has eight bytes. Two that differ in at most three bits differ in
 at most three bytes, so they share at least five bytes in place: five is the
-guaranteed minimum of matches. The index therefore holds each fingerprint under
-each of its 56 choices of five positions; a pair's tally of shared positional
-bytes reaches the minimum exactly if some posting has both. Postings of one
-fingerprint cost nothing; in the others the bits are counted, and only links to
-the least reached fingerprint leave, never all pairs. A posting fixes 40 of the
-64 bits, so it has at most 2**24 members however many documents there are.
+guaranteed minimum of matches. One position's byte would make postings of a
+256th of all fingerprints, so the index lists each fingerprint under its 56
+choices of five (position, byte) entries: two fingerprints meet there exactly
+if their tally can reach the minimum, and no posting can be common. Where they
+meet the tally of shared positional bytes is taken, pairs under the minimum go,
+and the rest is verified by bits. Only links to the least reached fingerprint
+leave, never all pairs. A posting fixes 40 of the 64 bits, so it has at most
+2**24 members however many documents there are.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, pin
+from .common import blocks, fresh, pin, row_key, same_row
 from .graph import connected_components
 
 BITS, BYTES, MAX_DIFF = 64, 8, 3
@@ -80,6 +82,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes of fingerprints agree in place."""
+    differ = (a ^ b)[:, None].view(np.uint8)
+    return BYTES - np.count_nonzero(differ, axis=1)
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs pass the count filter and, verified bit by bit, are within MAX_DIFF."""
+    near = tally(a, b) >= MIN_SHARED
+    near[near] = np.bitwise_count(a[near] ^ b[near]) <= MAX_DIFF
+    return near
+
+
 def posting_links(members: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Star links that join what is within MAX_DIFF bits, step by step, among distinct fingerprints."""
     links, left = [], members
@@ -87,7 +102,7 @@ def posting_links(members: np.ndarray) -> list[tuple[int, np.ndarray]]:
         root, left = left[0], left[1:]
         front = [root]
         while front and left.size:
-            near = np.bitwise_count(left ^ front.pop()) <= MAX_DIFF
+            near = near_pairs(left, np.full(left.size, front.pop(), np.uint64))
             if near.any():
                 links.append((root, left[near]))
                 front.extend(left[near])
@@ -106,7 +121,7 @@ def _link_postings(batches):
         u, v = [], []
         two = starts[lengths == 2]
         a, b = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
-        near = np.bitwise_count(a ^ b) <= MAX_DIFF
+        near = near_pairs(a, b)
         u.append(a[near])
         v.append(b[near])
         for at, n in zip(starts[lengths > 2], lengths[lengths > 2]):
@@ -185,10 +200,6 @@ def candidate_keys(members: np.ndarray, fp: int) -> np.ndarray:
     return keys + np.arange(keys.size, dtype=np.uint64) * MIX[BAND + 1]
 
 
-def _row_key(text) -> list:
-    return [F.xxhash64(text), F.xxhash64(F.lit("row"), text)]
-
-
 def candidate_index(docs: DataFrame) -> DataFrame:
     """``doc_id, k1, k2, sid, keys`` of each row: a hash of its text in two parts, one of its shingle set, and index keys."""
 
@@ -207,7 +218,7 @@ def candidate_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], ids, listed], ["doc_id", "k1", "k2", "sid", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    k1, k2 = _row_key(F.col("text").cast("string"))
+    k1, k2 = row_key(F.col("text").cast("string"))
     rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, sid long, keys array<long>")
 
@@ -299,14 +310,6 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["sid", "members"])
 
 
-def _same_row(left: DataFrame, own: list[str], right: DataFrame, how: str) -> DataFrame:
-    """Join by doc_id and both parts of the text's hash; ``right`` has them as ``_id, _k1, _k2``."""
-    names = fresh(left, "row_id", "row_k1", "row_k2")
-    right = right.withColumnsRenamed(dict(zip(("_id", "_k1", "_k2"), names)))
-    on = F.col("doc_id").eqNullSafe(F.col(names[0]))
-    return left.join(right, on & (F.col(own[0]) == F.col(names[1])) & (F.col(own[1]) == F.col(names[2])), how)
-
-
 def similarity_links(docs: DataFrame, index: DataFrame) -> DataFrame:
     """``(u, v)``: links that connect, in steps, all shingle sets of ``index`` that are near copies."""
     one = index.groupBy("sid").agg(F.first("keys").alias("keys"))
@@ -316,9 +319,9 @@ def similarity_links(docs: DataFrame, index: DataFrame) -> DataFrame:
     )
     buckets = pin(shared.distinct())
     first = index.join(buckets.select("sid").distinct(), "sid").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))).alias("r"))
-    k1, k2 = _row_key(F.col("text"))
+    k1, k2 = row_key(F.col("text"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("k1", k1).withColumn("k2", k2)
-    wanted = _same_row(texts, ["k1", "k2"], first.select("sid", "r.*"), "inner").select("sid", "text")
+    wanted = same_row(texts, ["k1", "k2"], pin(first.select("sid", "r.*")), "inner").select("sid", "text")
     sets = pin(wanted.mapInArrow(_sets, "sid long, members binary")).dropDuplicates(["sid"])
     rows = buckets.join(sets, "sid").select("bucket", "sid", "members")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified_links, "u long, v long").distinct()
@@ -345,7 +348,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     named = [F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")]
     gone, again = pin(gone.select(*named).distinct()), pin(again.select(*named))
     own = fresh(docs, "own_k1", "own_k2")
-    marked = docs.select(*docs.columns, *(k.alias(name) for k, name in zip(_row_key(F.col("text").cast("string")), own)))
-    plain = _same_row(marked, own, gone.union(again), "left_anti")
-    repeated = _same_row(marked, own, again, "left_semi").dropDuplicates(["doc_id", *own])
+    marked = docs.select(*docs.columns, *(k.alias(name) for k, name in zip(row_key(F.col("text").cast("string")), own)))
+    plain = same_row(same_row(marked, own, gone, "left_anti"), own, again, "left_anti")
+    repeated = same_row(marked, own, again, "left_semi").dropDuplicates(["doc_id", *own])
     return plain.unionByName(repeated).select(docs.columns)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from millrace.llm import simhash
@@ -132,3 +133,13 @@ def test_similarity_at_the_bound():
     a = list(range(9))
     sets = [simhash.np.array(x, simhash.np.uint64) for x in (a, a[:8] + [50], a[:7] + [60, 61], a)]
     assert sorted(simhash.similar_links(sets)) == [(0, 1), (0, 3)]  # 8 of 10, 7 of 11
+
+
+def test_tally_counts_bytes_in_place_and_never_loses_a_near_pair():
+    rnd = np.random.default_rng(3)
+    a = rnd.integers(0, 1 << 63, 400, np.uint64)
+    flips = [sum(1 << int(k) for k in rnd.choice(64, i % 6, replace=False)) for i in range(400)]
+    b = a ^ np.array(flips, np.uint64)
+    want = [sum(x == y for x, y in zip(int(p).to_bytes(8, "little"), int(q).to_bytes(8, "little"))) for p, q in zip(a, b)]
+    assert simhash.tally(a, b).tolist() == want
+    assert simhash.near_pairs(a, b).tolist() == [bin(f).count("1") <= simhash.MAX_DIFF for f in flips]
