@@ -54,3 +54,21 @@ def test_one_of_each_group_stays(make_docs, odd_rows):
     ids = [r.doc_id for r in left.collect()]
     assert sorted(i for i in ids if i is not None) == [3, 4, 5, 6, 7, 8, 9] and ids.count(None) == 1
     assert left.columns == make_docs(odd_rows, extra=True).columns
+
+
+def test_huge_documents_are_hashed_in_chunks(make_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(exact, "CHUNK", 4096)
+    monkeypatch.setattr(exact, "_TABLES", [])
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abc \n") for _ in range(30_000))
+    rows = [*odd_rows, (20, long), (21, long.replace(" ", "")), (22, long[:-9] + "q"), (20, long), (None, long), (23, " " * 300)]
+    for huge in (1, 200, 1 << 30):
+        assert got(exact.exact_duplicate_groups(make_docs(rows, extra=True), huge=huge)) == brute(rows)
+    assert got(exact.exact_duplicate_groups(make_docs(rows), hash_bits=2, huge=200)) == brute(rows)
+
+
+def test_rows_that_repeat_an_id_leave_one(make_docs):
+    rows = [(1, "a b"), (1, "ab"), (1, "a  b"), (2, "ab"), (3, "x"), (3, "x"), (4, None), (4, ""), (3, "y")]
+    left = exact.drop_exact_duplicates(make_docs(rows)).collect()
+    assert sorted((r.doc_id, (r.text or "").replace(" ", "")) for r in left) == [(1, "ab"), (3, "x"), (3, "y"), (4, "")]
+    assert exact.drop_exact_duplicates(make_docs([])).collect() == []
