@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Pieces a worker remembers, and token pairs.
-CACHE_PIECES, CACHE_PAIRS = 400_000, 1_000_000
+CACHE_PIECES, CACHE_PAIRS = 200_000, 500_000
 #: Token pairs that the scalar form remembers.
 FEW_PAIRS = 50_000
 #: Pieces of one block of rows, and new ones whose tables are filled side by side.
-BLOCK_PIECES, NEW_PIECES = 500_000, 20_000
+BLOCK_PIECES, NEW_PIECES = 200_000, 20_000
 #: Bytes of a piece up to which its table is filled beside others'.
 SHORT = 48
 BLOCK = 1 << 20
