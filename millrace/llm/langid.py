@@ -31,7 +31,7 @@ SEQUENCE_LABELS = 64
 BUCKET_BITS, LEXICON = 16, 200
 BUCKETS = 1 << BUCKET_BITS
 #: Words a worker remembers, scores at once, and that one block of forward-backward holds.
-CACHE_WORDS, SCORE_WORDS, BLOCK_WORDS = 400_000, 100_000, 200_000
+CACHE_WORDS, SCORE_WORDS, BLOCK_WORDS = 250_000, 100_000, 200_000
 #: New words whose features are taken side by side.
 NEW_WORDS = 10_000
 #: Odd factors of the feature hashes.
