@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -24,3 +25,13 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     context.addPyFile(path)
     context._millrace_shipped = True
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's place below the one that the driver and all executors share; a session on one machine may use its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="millrace-")
+    return f"{top.rstrip('/')}/work-{uuid.uuid4().hex}"
