@@ -30,7 +30,7 @@ TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 16 << 10, 64 << 10, 150_000
 #: A window is typical of toxic text if so many toxic rows have it, and so much more often than ordinary rows.
 LEAST_ROWS, LEAST_RATIO = 4, 8.0
 #: Windows of either kind below which no dictionary is trained and all scores are 0.
-LEAST_WINDOWS = 200
+LEAST_WINDOWS = 40
 MARGINS = (2, 3, 4, 5, 6, 7)
 LEVEL, CUT = 16, 0.7
 CACHE_WORDS, BLOCK_WORDS = 400_000, 400_000
