@@ -36,6 +36,8 @@ MASKS = [
 
 #: Shingle width and least Jaccard similarity of near copies in drop_near_duplicates; its min-wise keys and hashes in each.
 COPY_SHINGLE, SIMILARITY, BANDS, BAND = 5, 0.8, 32, 5
+#: Shingles of the sets compared in one task, and postings of one key held in one: larger groups are dealt out.
+TASK_SHINGLES, TASK_POSTINGS = 4_000_000, 1_000_000
 _RANDOM = np.random.default_rng(SEED)
 #: Odd factors of the min-wise hashes, of the hashes in a key, and of index keys.
 FACTORS, MIX = (_RANDOM.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * BAND, BAND + 2))
@@ -250,18 +252,47 @@ def _bounds(key: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
 
 
-def _shared_buckets(batches):
-    """``(bucket, sid)`` where a key has several sets; keys with the same sets give the same bucket."""
-    for table in _runs(batches):
-        sid, ends = table.column(1).to_numpy(), _bounds(table.column(0).to_numpy())
-        buckets, sids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _sign(data: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(data, SEED)], np.uint64).view(np.int64)
+
+
+def _shared_buckets(batches, most: int = TASK_POSTINGS):
+    """``(bucket, sid)`` where a key has several sets, over rows sorted by key; keys with the same sets give the same bucket.
+
+    The sets of a key that has more than ``most`` leave as they come, under a bucket of its own.
+    """
+
+    def solve(key, sid):
+        ends, buckets, sids = _bounds(key), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(np.diff(ends) > 1):
             found = np.unique(sid[ends[i] : ends[i + 1]])
             if found.size > 1:
-                sign = np.array([xxhash.xxh64_intdigest(found.tobytes(), SEED)], np.uint64).view(np.int64)
-                buckets.append(np.repeat(sign, found.size))
+                buckets.append(np.repeat(_sign(found.tobytes()), found.size))
                 sids.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (buckets, sids)], ["bucket", "sid"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (buckets, sids)], ["bucket", "sid"])
+
+    def pass_on(key, sid):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(_sign(b"key" + key.tobytes()), sid.size)), pa.array(sid)], ["bucket", "sid"])
+
+    held, large = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
+    for b in batches:
+        key, sid = (b.column(i).to_numpy() for i in range(2))
+        if large is not None:
+            same = int(np.searchsorted(key, large, "right"))
+            yield pass_on(large, sid[:same])
+            key, sid = key[same:], sid[same:]
+        if not key.size:
+            continue
+        large, key, sid = None, np.concatenate([held[0], key]), np.concatenate([held[1], sid])
+        cut = int(np.searchsorted(key, key[-1]))
+        yield solve(key[:cut], sid[:cut])
+        held = key[cut:], sid[cut:]
+        if held[0].size > most:
+            large = key[-1]
+            yield pass_on(large, held[1])
+            held = held[0][:0], held[1][:0]
+    if held[0].size:
+        yield solve(*held)
 
 
 def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -304,13 +335,58 @@ def _verified_links(batches):
 
 
 def _sets(batches):
-    """``(sid, members)`` from ``(sid, text)``."""
+    """``(sid, members, n)`` from ``(sid, text)``."""
+    for b in batches:
+        held = [shingle_set(list(shingle_hashes(x.as_py(), COPY_SHINGLE))) for x in b.column(1)]
+        members, sizes = pa.array([x.tobytes() for x in held], pa.binary()), pa.array([x.size for x in held], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), members, sizes], ["sid", "members", "n"])
+
+
+def _similarities(batches):
+    """``(sid, leader, similarity)`` from ``(sid, leader, members, led)``."""
     for b in batches:
-        held = [shingle_set(list(shingle_hashes(x.as_py(), COPY_SHINGLE))).tobytes() for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["sid", "members"])
+        out = []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+            shared = np.intersect1d(x, y, assume_unique=True).size
+            out.append(shared / max(1, x.size + y.size - shared))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["sid", "leader", "similarity"])
+
+
+def _split_buckets(rows: DataFrame, sets: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets ``(bucket, sid, n)`` too large for a task → links ``(u, v)`` to their leaders, and smaller buckets ``(bucket, sid)`` for the rest.
+
+    Each set is compared with its bucket's leader, the least. Those near it are
+    linked and need not be compared with each other. Jaccard distance is a
+    metric, so only the near ones as far out as the distance of the others
+    less 1 - SIMILARITY can be near any of them. Others are compared with
+    these and each other, in cells of a block of each: no link is lost.
+    """
+    led = rows.join(rows.groupBy("bucket").agg(F.min("sid").alias("leader")), "bucket").where("sid <> leader")
+    pairs = led.select("sid", "leader").distinct().join(sets.select("sid", "members"), "sid")
+    pairs = pairs.join(sets.select(F.col("sid").alias("leader"), F.col("members").alias("led")), "leader").select("sid", "leader", "members", "led")
+    scored = pin(pairs.mapInArrow(_similarities, "sid long, leader long, similarity double"))
+    judged = pin(led.join(scored, ["sid", "leader"]).withColumn("near", F.col("similarity") >= SIMILARITY))
+    reach = judged.where("not near").groupBy("bucket").agg(
+        (F.max("similarity") + (1 - SIMILARITY) + 1e-9).alias("most"), F.ceil(F.sum("n") / most).cast("int").alias("others"),
+    )
+    rest = judged.join(reach, "bucket").where("not near or similarity <= most")
+    nears = rest.where("near").groupBy("bucket").agg(F.ceil(F.sum("n") / most).cast("int").alias("nears"))
+    rest = rest.join(nears, "bucket", "left").fillna(0, ["nears"])
+    block = lambda of: F.pmod(F.xxhash64("sid"), F.greatest(F.col(of), F.lit(1)))
+    numbers = lambda of: F.when(F.col(of) > 0, F.sequence(F.lit(0), F.col(of) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda kind, a, b: F.xxhash64("bucket", F.lit(kind), a.cast("long"), b.cast("long"))
+    own, near_own = block("others"), block("nears")
+    cells = F.when(F.col("near"), F.transform(numbers("others"), lambda i: cell("near", i, near_own))).otherwise(
+        F.concat(
+            F.transform(numbers("others"), lambda i: cell("others", F.least(own, i.cast("long")), F.greatest(own, i.cast("long")))),
+            F.transform(numbers("nears"), lambda i: cell("near", own, i)),
+        )
+    )
+    return scored.where(F.col("similarity") >= SIMILARITY).select(F.col("leader").alias("u"), F.col("sid").alias("v")), rest.select(F.explode(cells).alias("bucket"), "sid")
 
 
-def similarity_links(docs: DataFrame, index: DataFrame) -> DataFrame:
+def similarity_links(docs: DataFrame, index: DataFrame, most: int = TASK_SHINGLES) -> DataFrame:
     """``(u, v)``: links that connect, in steps, all shingle sets of ``index`` that are near copies."""
     one = index.groupBy("sid").agg(F.first("keys").alias("keys"))
     shared = (
@@ -322,7 +398,18 @@ def similarity_links(docs: DataFrame, index: DataFrame) -> DataFrame:
     k1, k2 = row_key(F.col("text"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("k1", k1).withColumn("k2", k2)
     wanted = same_row(texts, ["k1", "k2"], pin(first.select("sid", "r.*")), "inner").select("sid", "text")
-    sets = pin(wanted.mapInArrow(_sets, "sid long, members binary")).dropDuplicates(["sid"])
+    sets = pin(wanted.mapInArrow(_sets, "sid long, members binary, n long")).dropDuplicates(["sid"])
+    sized = buckets.join(sets.select("sid", "n"), "sid")
+    large = pin(sized.groupBy("bucket").agg(F.sum("n").alias("weight")).where(F.col("weight") > most).select("bucket"))
+    if large.isEmpty():
+        return _compared(buckets, sets)
+    links, cells = _split_buckets(pin(sized.join(large, "bucket").select("bucket", "sid", "n")), sets, most)
+    alone = buckets.join(large, "bucket", "left_anti").unionByName(cells)
+    return _compared(alone, sets).unionByName(links).distinct()
+
+
+def _compared(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(u, v)``: the links inside each bucket ``(bucket, sid)``, which one task holds."""
     rows = buckets.join(sets, "sid").select("bucket", "sid", "members")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified_links, "u long, v long").distinct()
 

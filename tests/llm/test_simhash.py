@@ -143,3 +143,58 @@ def test_tally_counts_bytes_in_place_and_never_loses_a_near_pair():
     want = [sum(x == y for x, y in zip(int(p).to_bytes(8, "little"), int(q).to_bytes(8, "little"))) for p, q in zip(a, b)]
     assert simhash.tally(a, b).tolist() == want
     assert simhash.near_pairs(a, b).tolist() == [bin(f).count("1") <= simhash.MAX_DIFF for f in flips]
+
+
+def drifting_copies(n=160, seed=8):
+    """One large group: copies of copies, each with a few more words changed, so that the ends are far apart."""
+    rnd = random.Random(seed)
+    texts = [["w%d" % i for i in range(60)]]
+    while len(texts) < n:
+        copy = list(rnd.choice(texts))
+        for at in rnd.sample(range(60), rnd.choice((1, 1, 1, 2))):
+            copy[at] = "new%d" % rnd.randint(0, 10**6)
+        texts.append(copy)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_buckets_too_large_for_a_task_lose_no_link(make_docs):
+    rows = drifting_copies()
+    docs = make_docs(rows)
+    index = simhash.pin(simhash.candidate_index(docs))
+    for most in (150, 3000):  # three sets, and about a third of them
+        stars = simhash.connected_components(simhash.similarity_links(docs, index, most))
+        root = {r.u: r.v for r in stars.collect()}
+        classes = {}
+        for r in index.select("doc_id", "sid").collect():
+            classes.setdefault(root.get(r.sid, r.sid), []).append(r.doc_id)
+        assert sorted(min(x) for x in classes.values()) == [d for d, _ in brute_kept(rows)]
+
+
+def test_cells_hold_every_pair_that_the_leader_does_not_settle(spark, make_docs):
+    rows = drifting_copies(60)
+    sets = {i: simhash.shingle_set(list(simhash.shingle_hashes(t, 5))) for i, t in rows}
+    frame = spark.createDataFrame([(i, s.tobytes(), s.size) for i, s in sets.items()], "sid long, members binary, n long")
+    links, cells = simhash._split_buckets(frame.selectExpr("7L AS bucket", "sid", "n"), frame, 500)
+    linked = {(r.u, r.v) for r in links.collect()}
+    near = {0} | {v for _, v in linked}
+    together, weight = set(), {}
+    for r in cells.groupBy("bucket").agg({"sid": "collect_set"}).collect():
+        held = sorted(r[1])
+        weight[r[0]] = sum(sets[i].size for i in held)
+        together |= {(a, b) for a in held for b in held if a < b}
+    like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8
+    want = {(a, b) for a in sets for b in sets if a < b and like(a, b) and not {a, b} <= near}
+    assert linked == {(0, b) for b in sets if b and like(0, b)} and want and want <= together
+    assert len(weight) > 3 and max(weight.values()) < sum(s.size for s in sets.values()) * 0.8
+
+
+def test_keys_with_many_postings_are_passed_on_as_they_come():
+    key = np.repeat(np.array([-5, 1, 2, 9]), [2, 50, 1, 30])
+    sid = np.arange(key.size)
+    parts = [simhash.pa.RecordBatch.from_arrays([simhash.pa.array(key[i : i + 7]), simhash.pa.array(sid[i : i + 7])], ["key", "sid"]) for i in range(0, key.size, 7)]
+    found = {}
+    for b in simhash._shared_buckets(iter(parts), 20):
+        for bucket, s in zip(*(c.to_pylist() for c in b.columns)):
+            found.setdefault(bucket, []).append(s)
+    assert sorted(map(sorted, found.values())) == [[0, 1], list(range(2, 52)), list(range(53, 83))]
+    assert sum(map(len, found.values())) == 82
