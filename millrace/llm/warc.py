@@ -256,10 +256,10 @@ def reassemble(records: DataFrame) -> DataFrame:
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
     grouped = parts.groupBy("origin").agg(
         *(first(c) for c in ("type", "uri", "page", "refers_to", "digest")),
-        F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),
+        F.max("total").alias("total"), F.array_sort(F.collect_list("number")).alias("numbers"), F.expr("listagg(block) WITHIN GROUP (ORDER BY number)").alias("block"),
     )
-    block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
-    in_order = F.transform("parts", lambda x: x["number"]) == F.sequence(F.lit(1), F.size("parts"))
+    block = F.coalesce("block", F.lit(b""))
+    in_order = F.col("numbers") == F.sequence(F.lit(1), F.size("numbers"))
     whole = grouped.select(
         F.col("origin").alias("record"), "type", "uri", "page", "refers_to", "digest", block.alias("block"),
         F.coalesce(in_order & (F.col("total") == F.octet_length(block)), F.lit(False)).alias("complete"),
