@@ -77,6 +77,7 @@ def strip_fence(text: str) -> str:
 
 
 _MARKS = re.compile(r'"(?:[^"\\]|\\.)*("?)|[\[\]{}]', re.S)
+_NEXT = re.compile(r"\s*(\S?)")
 _PARTNER = {"[": "]", "{": "}"}
 
 
@@ -105,7 +106,7 @@ def json_rows(body: str) -> tuple[list[list[Any]], bool]:
             if not open_:
                 rows.append("".join([*parts, body[done:at]]))
                 last = at
-        elif body[at:].lstrip()[:1] == open_[-1]:
+        elif _NEXT.match(body, at)[1] == open_[-1]:
             parts.append(body[done : found.start()])
             done, mended = at, True
         else:

@@ -94,9 +94,18 @@ def pointer_text(document: str | None, pointer: str | None) -> str | None:
 
 
 def pointer_value(document: Column, pointer: str, kind: str = "string") -> Column:
-    """The value at a fixed pointer of a JSON text, natively by way of variant_get; null if absent."""
-    path = "$" + "".join(f"[{p}]" if p.isdigit() else "['" + p.replace("'", "\\'") + "']" for p in pointer_parts(pointer))
-    return F.try_variant_get(F.try_parse_json(document), path, kind)
+    """The value at a fixed pointer of a JSON text, natively by way of variant_get; null if absent.
+
+    Digits are a list's index or an object's key, whichever the text has there.
+    """
+    paths = ["$"]
+    for part in pointer_parts(pointer):
+        steps = ["['" + part.replace("'", "\\'") + "']"]
+        if part.isdecimal() and part.isascii() and int(part) < 1 << 31:
+            steps.append(f"[{int(part)}]")
+        paths = [path + step for path in paths for step in steps]
+    parsed = F.try_parse_json(document)
+    return F.coalesce(*(F.try_variant_get(parsed, path, kind) for path in paths))
 
 
 def pointer_values(document: Column, pointers: Column) -> Column:

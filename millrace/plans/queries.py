@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import text as T
 from ..operators import audit, checks, compare, messages, pairing, ranking, stats
+from ..streaming import best
 from .registry import Tables, query
 
 # --- stand-ins: columns of the tables in the roles the operators need -----------------------------------------
@@ -585,6 +586,19 @@ def use_classes(t: Tables) -> DataFrame:
     return audit.use_classes(*_offers(t), "c", "kind", "item").groupBy("kind", "class").agg(F.count(F.lit(1)).alias("cases"))
 
 
+@query("""SELECT l_linenumber AS pos, count(*) AS unused FROM lineitem l
+  WHERE NOT EXISTS (SELECT 1 FROM lineitem u WHERE u.l_orderkey = l.l_orderkey AND u.l_partkey = l.l_partkey AND u.l_quantity > 25) GROUP BY 1""")
+def unused_positions(t: Tables) -> DataFrame:
+    cols = [F.col("l_orderkey").alias("c"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("pos")]
+    return audit.unused_positions(t.lineitem.select(*cols), t.lineitem.where("l_quantity > 25").select(*cols), "c", "item", "pos")
+
+
+@query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(t: Tables) -> DataFrame:
+    """A table has no late rows, so all are counted."""
+    return best.windowed_counts(t.events, "ts", "event_type").select(F.unix_timestamp("window.start").alias("hour_s"), "event_type", "n")
+
+
 @query("""SELECT p_type AS name, CAST(count(*) FILTER (WHERE p_size <= 3) AS BIGINT) AS token_hits, CAST(count(*) FILTER (WHERE p_size > 3) AS BIGINT) AS explicit, count(DISTINCT p_size) AS "values" FROM part GROUP BY 1""")
 def style_stats(t: Tables) -> DataFrame:
     props = t.part.select(F.lit(0).alias("case"), F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.col("p_size").alias("value"))

@@ -49,6 +49,7 @@ def test_pointers(spark):
     with pytest.raises(J.PointerError):
         J.pointer_parts("/a~")
     assert values(spark, lambda c: J.pointer_value(c, "/a~1b/~0x/0", "int"), [doc]) == [1]
+    assert values(spark, lambda c: J.pointer_value(c, "/a/0"), ['{"a":{"0":"key"}}', '{"a":["index"]}', '{"a":{}}', "no", None]) == ["key", "index", None, None, None]
 
 
 def test_formats(spark):

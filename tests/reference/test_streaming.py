@@ -1,3 +1,5 @@
+from datetime import datetime
+
 from millrace.session import ship_package
 from millrace.streaming import best
 
@@ -13,3 +15,17 @@ def test_best_loss_over_a_stream(spark, tmp_path):
     run.awaitTermination(120)
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 1, 5.0), ("a", 3, 4.0), ("b", 1, 1.0)}
+
+
+def test_windowed_counts_leave_out_what_is_later_than_the_watermark(spark, tmp_path):
+    schema = "at timestamp, kind string"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = best.windowed_counts(stream, "at", "kind").select("window.start", "kind", "n")
+    moment = lambda hour, minute: datetime(2024, 1, 1, hour, minute)
+    for rows in ([(moment(1, 5), "a"), (moment(1, 50), "a"), (moment(1, 55), "b")], [(moment(9, 0), "a")], [(moment(1, 10), "a"), (moment(20, 0), "a")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = counts.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(moment(1, 0), "a", 2), (moment(1, 0), "b", 1), (moment(9, 0), "a", 1)}
