@@ -23,6 +23,14 @@ def _prefix(depth) -> F.Column:
     return F.expr(f"shiftrightunsigned(code, 64 - ({depth}))")
 
 
+def row_code(text: str = "text", key: str = "doc_id") -> F.Column:
+    """The 64 bits whose prefixes index the directory: a hash of key and text, the low COPY_BITS one of the row's place."""
+    low = (1 << COPY_BITS) - 1
+    place = F.xxhash64(F.monotonically_increasing_id())
+    content = F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"))
+    return content.bitwiseAND(F.lit(~low).cast("long")).bitwiseOR(place.bitwiseAND(F.lit(low).cast("long")))
+
+
 def assign_shards(docs: DataFrame, limit: int = LIMIT_BYTES, text: str = "text", key: str = "doc_id", step: int = STEP_BITS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, shard, depth, shard_bytes, oversize``.
 
@@ -33,10 +41,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT_BYTES, text: str = "text",
     to 63 parts, is left as it is with ``oversize`` true. Null text has 0
     bytes; null keys are hashed like values; no rows give no rows.
     """
-    place = F.xxhash64(F.monotonically_increasing_id())
-    low = (1 << COPY_BITS) - 1
-    code = F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")).bitwiseAND(F.lit(~low).cast("long")).bitwiseOR(place.bitwiseAND(F.lit(low).cast("long")))
-    slim = pin(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), code.alias("code")))
+    slim = pin(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), row_code(text, key).alias("code")))
     total = slim.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(MAX_BITS, max(1, (max(1, total) // limit).bit_length()) + 4)
     floor, open_rows, settled = 0, slim, []
