@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_number, final_answer, strip
+from .ordinals import with_ordinal
 
 
 def chat_messages(user: Column, assistant: Column | None = None, system: Column | None = None) -> Column:
@@ -28,9 +29,9 @@ def sft_rows(df: DataFrame, id_column: str, task: str, label: str, system: str |
 
 
 def numbered_rows(df: DataFrame, order: list[str], prefix: str = "taskspec-") -> DataFrame:
-    """Ids by place, from 001. The place is global, so rows meet in one task; for the small test sets this is made for."""
-    place = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("id", F.format_string(f"{prefix}%03d", place))
+    """Ids by place, from 001, in as many tasks as the rows need."""
+    numbered = with_ordinal(df, order, "_number", 1)
+    return numbered.withColumn("id", F.format_string(f"{prefix}%03d", "_number")).drop("_number")
 
 
 def question_messages(question: Column, answer: Column, instruction: str) -> Column:

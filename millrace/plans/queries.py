@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as T
-from ..operators import audit, checks, compare, messages, pairing, ranking, stats
+from ..operators import audit, checks, compare, messages, ordinals, pairing, ranking, stats
 from ..streaming import best
 from .registry import Tables, query
 
@@ -271,10 +271,19 @@ def run_settings(t: Tables) -> DataFrame:
     return pairing.differing_settings(one, other, ["n", "model", "limit", "seed"])
 
 
-@query("SELECT place, n_name, n_regionkey FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS place, n_name, n_regionkey FROM nation)")
+@query("""SELECT place, dearest, oldest FROM (SELECT o_orderkey AS dearest, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders)
+  JOIN (SELECT o_orderkey AS oldest, row_number() OVER (ORDER BY o_orderdate NULLS FIRST, o_orderkey) AS place FROM orders) USING (place)""")
 def positional_zip(t: Tables) -> DataFrame:
-    place = F.row_number().over(Window.orderBy("n_nationkey")).cast("long").alias("place")
-    return pairing.zip_by_place(t.nation.select(place, "n_name"), t.nation.select(place, "n_regionkey"), "place")
+    """Orders by price and orders by date, side by side by their places."""
+    dear, old = t.orders.select(F.col("o_orderkey").alias("dearest"), "o_totalprice"), t.orders.select(F.col("o_orderkey").alias("oldest"), "o_orderdate")
+    return ordinals.zip_in_order(dear, old, [F.desc("o_totalprice"), F.col("dearest")], ["o_orderdate", "oldest"], "place", 1).select("place", "dearest", "oldest")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value NULLS FIRST, event_id) AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) - 1 AS nth FROM events")
+def event_ordinals(t: Tables) -> DataFrame:
+    """Every event's place by value among all, and by time among its user's."""
+    placed = ordinals.with_ordinal(t.events.select("event_id", "user_id", "ts", "value"), ["value", "event_id"], "place", 1)
+    return ordinals.with_ordinal(placed, ["ts", "event_id"], "nth", 0, ["user_id"]).select("event_id", "place", "nth")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_fence, has_think_tag, is_valid_id, strip
 from ..operators.checks import DataError, duplicates_in_order, gate, required_columns
+from ..operators.ordinals import first_by_order, with_ordinal
 
 _ITEMS = "pos int, id string, body string, problem string"
 
@@ -126,7 +127,7 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
         return df
     if n < 1:
         raise DataError("a limit is positive")
-    return df.orderBy(order).limit(n)
+    return first_by_order(df, [order], n)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -142,4 +143,5 @@ def starts_with_bom(spark: SparkSession, path: str) -> DataFrame:
 
 
 def place_in_file(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Adds ``pos``, the place by ``order`` from 0."""
+    return with_ordinal(df, list(order))
