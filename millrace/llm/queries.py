@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, mixing, quality, secret_scan, sharding, simhash, toxicity, warc
+from . import bpe, exact, langid, merkle, mixing, quality, secret_scan, sharding, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -52,6 +52,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return merkle.audit_manifest(docs, merkle.lower_cased_third(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_compression_toxicity,
         op9_exact_dedup,
         op10_secret_scan,
+        op12_merkle_manifest,
     )
 }
 
@@ -161,4 +167,28 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
              CAST(count(*) OVER (PARTITION BY text_sha256) AS BIGINT) AS group_size FROM t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(CAST(source AS VARCHAR))) || ':' || source, '-') || coalesce(octet_length(encode(CAST(lang AS VARCHAR))) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT), lambda c, b:
+             list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 3 = 0 AS chosen FROM documents),
+v AS (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(CAST(text AS VARCHAR))) || ':' || text, '-')) AS leaf,
+             CASE WHEN chosen THEN sha256(head || coalesce(octet_length(encode(CAST(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS VARCHAR))) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM v),
+nodes AS (SELECT lang, 0 AS lvl, pos AS idx, leaf AS digest, n FROM leaves
+  UNION ALL SELECT lang, lvl + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, lvl, n, idx // 8),
+subs AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, place AS idx, subroot AS digest, n FROM subs
+  UNION ALL SELECT lvl + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY lvl, n, idx // 8),
+runs AS (SELECT lang, lvl, idx // 8 AS run, list(digest ORDER BY idx) AS ds FROM nodes WHERE n > 1 GROUP BY ALL),
+top_runs AS (SELECT lvl, idx // 8 AS run, list(digest ORDER BY idx) AS ds FROM tops WHERE n > 1 GROUP BY ALL),
+low AS (SELECT l.lang, pos, lvl, (pos // (8 ** lvl)::BIGINT) % 8 AS k, ds FROM leaves l JOIN runs r ON l.lang IS NOT DISTINCT FROM r.lang AND r.run = pos // (8 ** (lvl + 1))::BIGINT),
+high AS (SELECT lang, lvl, (place // (8 ** lvl)::BIGINT) % 8 AS k, ds FROM subs s JOIN top_runs r ON r.run = place // (8 ** (lvl + 1))::BIGINT),
+below AS (SELECT lang, pos, list(array_to_string(ds[1:k], '') || '|' || array_to_string(ds[k + 2:], '') ORDER BY lvl) AS steps FROM low GROUP BY lang, pos),
+above AS (SELECT lang, list(array_to_string(ds[1:k], '') || '|' || array_to_string(ds[k + 2:], '') ORDER BY lvl) AS steps FROM high GROUP BY lang),
+told AS (SELECT l.doc_id, l.leaf, l.other, s.subroot, (SELECT digest FROM tops WHERE n = 1) AS root, list_concat(coalesce(b.steps, []), coalesce(a.steps, [])) AS steps
+  FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN below b ON l.lang IS NOT DISTINCT FROM b.lang AND l.pos = b.pos
+  LEFT JOIN above a ON l.lang IS NOT DISTINCT FROM a.lang),
+folded AS (SELECT *, list_reduce([coalesce(other, leaf)] || steps, lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM told)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
 }
