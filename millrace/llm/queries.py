@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, merkle, mixing, quality, secret_scan, sharding, simhash, toxicity, warc
+from . import bpe, divergence, exact, langid, merkle, mixing, quality, secret_scan, sharding, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -52,6 +52,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return merkle.audit_manifest(docs, merkle.lower_cased_third(docs))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_compression_toxicity,
         op9_exact_dedup,
         op10_secret_scan,
+        op11_source_divergence,
         op12_merkle_manifest,
     )
 }
@@ -167,6 +172,22 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
              CAST(count(*) OVER (PARTITION BY text_sha256) AS BIGINT) AS group_size FROM t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT g.lang, g.source, k.term, count(t.rid) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term GROUP BY ALL),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p,
+       1 + (1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM c JOIN v USING (lang)),
+pairs AS (SELECT g.lang, g.source, h.source AS item, CAST(coalesce((SELECT sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) FROM p a JOIN p b ON a.term = b.term
+            WHERE a.lang = g.lang AND a.source = g.source AND b.lang = g.lang AND b.source = h.source), 0) AS BIGINT) AS value
+          FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source),
+terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+a AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM a
+QUALIFY part = 'pair' OR rank <= 10""",
     "op12_merkle_manifest": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, text, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(CAST(source AS VARCHAR))) || ':' || source, '-') || coalesce(octet_length(encode(CAST(lang AS VARCHAR))) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
