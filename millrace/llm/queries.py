@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, divergence, exact, langid, merkle, mixing, quality, secret_scan, sharding, simhash, toxicity, warc
+from . import bpe, divergence, exact, langid, merkle, mixing, pitman_yor, quality, secret_scan, sharding, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -61,6 +61,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit_manifest(docs, merkle.lower_cased_third(docs))
 
 
+def op13_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pitman_yor.score_documents(docs, pitman_yor.held_out_tenth(docs["doc_id"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
         op11_source_divergence,
         op12_merkle_manifest,
+        op13_pitman_yor_scoring,
     )
 }
 
