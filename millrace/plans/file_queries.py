@@ -17,12 +17,16 @@ def _text_file(lines: DataFrame, name: str) -> str:
     return path
 
 
-@query("""SELECT n_nationkey - min(n_nationkey) OVER () AS pos, 'n' || n_nationkey AS id, '{"z":' || n_regionkey || ',"a":"' || n_name || '"}' AS body FROM nation""", python=True)
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, 'o' || o_orderkey AS id, '{"z":' || o_custkey || ',"a":"}{' || o_orderstatus || '\\\"]"}' AS body FROM orders""", python=True)
 def source_task_records(t: Tables) -> DataFrame:
-    record = F.format_string('{"id":"n%s","taskSpec":{"z": %s, "a": "%s"}}', "n_nationkey", "n_regionkey", "n_name")
-    listed = t.nation.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", record.alias("r")))).alias("l"))
-    whole = listed.select(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["r"]), ",\n"), F.lit("]")))
-    return readers.read_task_records(t.spark, _text_file(whole, "tasks.json")).select(F.col("pos").cast("long").alias("pos"), "id", "body")
+    """An array over many lines, with braces, quotes and brackets inside its strings."""
+    record = F.format_string('{"id":"o%s",\n "taskSpec":{"z": %s, "a": "}{%s\\\"]"}}', "o_orderkey", "o_custkey", "o_orderstatus")
+    most = t.orders.agg(F.max("o_orderkey")).first()[0]
+    first = t.orders.agg(F.min("o_orderkey")).first()[0]
+    line = F.concat(F.when(F.col("o_orderkey") == first, F.lit("[")).otherwise(F.lit(",")), record, F.when(F.col("o_orderkey") == most, F.lit("\n]")).otherwise(F.lit("")))
+    path = f"{work_folder(t.spark)}/tasks.json"
+    t.orders.select("o_orderkey", line.alias("value")).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return readers.read_task_records(t.spark, path)
 
 
 @query("SELECT 'p' || p_partkey AS id, p_name AS label FROM part", python=True)
@@ -32,6 +36,14 @@ def source_labels(t: Tables) -> DataFrame:
     return readers.read_labels(t.spark, _text_file(t.part.select(blank), "labels.jsonl")).select("id", "label")
 
 
+@query("""SELECT CAST(row_number() OVER (ORDER BY o_orderkey) * 2 - 1 AS BIGINT) AS line_number, 'order ' || o_orderkey AS value FROM orders""")
+def source_numbered_lines(t: Tables) -> DataFrame:
+    """A blank line after every other one, a file of many byte ranges."""
+    path = f"{work_folder(t.spark)}/orders.txt"
+    t.orders.select("o_orderkey", F.concat(F.lit("order "), "o_orderkey", F.lit("\n")).alias("value")).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return readers.numbered_lines(t.spark, path).where("value <> ''")
+
+
 @query("SELECT 'Be brief about ' || r_name || '.' AS prompt FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)", python=True)
 def source_prompt(t: Tables) -> DataFrame:
     text = t.region.orderBy("r_regionkey").limit(1).select(F.concat(F.lit("\n  Be brief about "), "r_name", F.lit(".  \n")))

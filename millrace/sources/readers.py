@@ -11,53 +11,59 @@ from pyspark.sql import functions as F
 from ..functions.text import has_fence, has_think_tag, is_valid_id, strip
 from ..operators.checks import DataError, duplicates_in_order, gate, required_columns
 from ..operators.ordinals import first_by_order, with_ordinal
+from .records import array_elements, element_of, numbered_text, written_once
 
-_ITEMS = "pos int, id string, body string, problem string"
 
-
-def _array_items(text: str, name: str) -> list[tuple]:
-    """(pos, id, canonical body, problem) of each record of a JSON array, in order."""
+def record_of(pos: int, text: str, last: bool, field: str) -> tuple[str | None, str | None, str | None]:
+    """(id, canonical body, problem) of an array's element."""
+    own, problem = element_of(pos, text, last)
+    if problem or last:
+        return None, None, problem
     try:
-        found = json.loads(text.lstrip("﻿"))
+        r = json.loads(own)
     except ValueError as e:
-        return [(0, None, None, f"no JSON: {e}")]
-    if not isinstance(found, list):
-        return [(0, None, None, "the root is no array")]
-    out = []
-    for pos, r in enumerate(found):
-        inner = r.get(name) if isinstance(r, dict) else None
-        try:
-            body = json.dumps(inner, ensure_ascii=False, separators=(",", ":"), allow_nan=False) if isinstance(inner, dict) else None
-            problem = None if body is not None else f"{name} is no object"
-        except ValueError:
-            body, problem = None, "a number is not finite"
-        id_ = r.get("id") if isinstance(r, dict) else None
-        out.append((pos, id_ if isinstance(id_, str) else None, body, problem))
-    return out
+        return None, None, f"no JSON: {e}"
+    inner, id_ = r.get(field), r.get("id")
+    id_ = id_ if isinstance(id_, str) else None
+    if not isinstance(inner, dict):
+        return id_, None, f"{field} is no object"
+    try:
+        return id_, json.dumps(inner, ensure_ascii=False, separators=(",", ":"), allow_nan=False), None
+    except ValueError:
+        return id_, None, "a number is not finite"
 
 
 def read_task_records(spark: SparkSession, path: str, field: str = "taskSpec") -> DataFrame:
-    """``pos, id, body``: the records of a JSON array file, bodies in canonical text with their key order; the first bad one raises."""
+    """``pos, id, body``: the records of a JSON array file, bodies in canonical text with their key order; the first bad one raises.
 
-    def run(values: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("pos", pa.int32()), ("id", pa.string()), ("body", pa.string()), ("problem", pa.string())]))
-        names = ("pos", "id", "body", "problem")
-        return pa.array([[dict(zip(names, r)) for r in _array_items(v, field)] for v in values.to_pylist()], kind)
+    The file is read by many tasks (``records.array_elements``); an array that does not close raises too.
+    """
 
-    items = F.arrow_udf(run, "array<struct<pos:int,id:string,body:string,problem:string>>")(F.col("value"))
-    rows = spark.read.text(path, wholetext=True).select(F.explode(items).alias("r")).select("r.*")
+    def run(batches):
+        for b in batches:
+            told = [record_of(*row, field) for row in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            columns = list(zip(*told)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.string()) for c in columns)], ["pos", "last", "id", "body", "problem"])
+
+    elements = array_elements(spark, path).select("pos", "text", "last")
+    rows = written_once(elements.mapInArrow(run, "pos long, last boolean, id string, body string, problem string"))
+    if not rows.where("last").limit(1).count():
+        raise DataError("bad record: the array does not end")
     gate(rows.where("problem is not null"), "bad record", ["pos"])
+    rows = rows.where("not last").drop("last", "problem")
     gate(rows.where(~is_valid_id(F.col("id"))), "bad id", ["pos"])
     gate(duplicates_in_order(rows, "id", "pos"), "repeated id", ["pos"])
-    return rows.drop("problem")
+    return rows
 
 
 def read_labels(spark: SparkSession, path: str, field: str = "designCompactDsl") -> DataFrame:
-    """``pos, id, label`` of a JSON-lines file: stripped labels without reasoning tags or fences; blank lines are skipped."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    lines = lines.where(F.length(strip(F.col("line"))) > 0)
-    read = lines.withColumn("r", F.from_json("line", f"id string, {field} string, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-    rows = read.select(F.col("pos"), "r.id", strip(F.col(f"r.{field}")).alias("label"), "r._bad")
+    """``pos, id, label`` of a JSON-lines file: stripped labels without reasoning tags or fences; blank lines are skipped.
+
+    ``pos`` is the line's place in the file from 0, blank lines counted; the file is read by many tasks.
+    """
+    lines = numbered_text(spark, path).where(F.length(strip(F.col("value"))) > 0)
+    read = lines.withColumn("r", F.from_json("value", f"id string, {field} string, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    rows = read.select((F.col("line_number") - 1).alias("pos"), "r.id", strip(F.col(f"r.{field}")).alias("label"), "r._bad")
     gate(rows.where("_bad is not null or label is null"), "bad line", ["pos"])
     gate(rows.where(~is_valid_id(F.col("id"))), "bad id", ["pos"])
     gate(duplicates_in_order(rows, "id", "pos"), "repeated id", ["pos"])
@@ -100,18 +106,18 @@ def read_splits(spark: SparkSession, path: str, splits=("train", "test"), column
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
     """Saved generations: id, size, finishReason, completionTokens, designCompactDsl; types, ids and counts are checked."""
-    raw = spark.read.text(path).where(F.length(strip(F.col("value"))) > 0)
+    raw = numbered_text(spark, path).where(F.length(strip(F.col("value"))) > 0)
     fields = "id string, size string, finishReason string, completionTokens string, designCompactDsl string"
     kinds = F.try_parse_json("value")
     rows = raw.select(
-        F.from_json("value", fields).alias("r"), F.schema_of_variant(F.try_variant_get(kinds, "$.completionTokens", "variant")).alias("kind")
-    ).select("r.*", "kind")
-    gate(rows.where("id is null or size is null or designCompactDsl is null"), "a field is missing")
-    gate(rows.where("kind is null or kind not in ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') or cast(completionTokens as bigint) < 0"), "completionTokens is a count")
-    gate(rows.groupBy("id").count().where("count > 1"), "repeated id")
+        "line_number", F.from_json("value", fields).alias("r"), F.schema_of_variant(F.try_variant_get(kinds, "$.completionTokens", "variant")).alias("kind")
+    ).select("line_number", "r.*", "kind")
+    gate(rows.where("id is null or size is null or designCompactDsl is null"), "a field is missing", ["line_number"])
+    gate(rows.where("kind is null or kind not in ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') or cast(completionTokens as bigint) < 0"), "completionTokens is a count", ["line_number"])
+    gate(duplicates_in_order(rows, "id", "line_number"), "repeated id", ["line_number"])
     if rows.isEmpty():
         raise DataError("no generations")
-    return rows.withColumn("completionTokens", F.col("completionTokens").cast("bigint")).drop("kind")
+    return rows.withColumn("completionTokens", F.col("completionTokens").cast("bigint")).drop("kind", "line_number")
 
 
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -131,9 +137,8 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_number, value`` of one small file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
-    return lines.select((F.col("pos") + 1).alias("line_number"), "value")
+    """``line_number, value`` of a file, blank lines too."""
+    return numbered_text(spark, path).drop("path")
 
 
 def starts_with_bom(spark: SparkSession, path: str) -> DataFrame:
