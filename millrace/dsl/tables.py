@@ -8,134 +8,167 @@ EMPTY_LABEL = "​"
 MEDIA_PREFIX = "resources/base/media/"
 
 # Component types, their own fields and styles.
-CONTAINERS = frozenset("Row Column List Stack".split())
-TYPES = CONTAINERS | frozenset("Text Image Divider Progress Button ActionUnit Checkbox".split())
-FIELDS = {k: frozenset(v.split()) for k, v in {
-    "Text": "content", "Image": "src", "Progress": "value total", "Button": "label enabled", "ActionUnit": "label enabled", "Checkbox": "label value select",
-}.items()}
+CONTAINERS = frozenset(("Row", "Column", "List", "Stack"))
+TYPES = CONTAINERS | frozenset(("Text", "Image", "Divider", "Progress", "Button", "ActionUnit", "Checkbox"))
+FIELDS = {
+    "Text": frozenset(("content",)),
+    "Image": frozenset(("src",)),
+    "Progress": frozenset(("value", "total")),
+    "Button": frozenset(("label", "enabled")),
+    "ActionUnit": frozenset(("label", "enabled")),
+    "Checkbox": frozenset(("label", "value", "select")),
+}
 DROPPED_FIELDS = {"Progress": frozenset({"threshold"})}
 REQUIRED = {"Text": "content", "Image": "src", "Progress": "value"}
-COMMON_STYLES = frozenset(
-    """alignSelf aspectRatio backgroundColor backgroundImage backgroundImageSizeWithStyle borderColor borderRadius borderWidth clip constraintSize
-    flexShrink height layoutWeight linearGradient margin maxHeight maxWidth minHeight minWidth opacity padding shadow visibility width""".split()
-)
-STYLES = {k: frozenset(v.split()) for k, v in {
-    "Text": "fontColor fontSize fontWeight maxFontSize maxLines minFontSize textAlign",
-    "Image": "fillColor objectFit",
-    "Divider": "color strokeWidth vertical",
-    "Progress": "color strokeWidth type",
-    "Button": "backgroundColor borderRadius fontColor fontSize fontWeight maxFontSize maxLines minFontSize",
-    "Checkbox": "mark selectedColor shape unSelectedColor",
-    "Row": "alignItems itemMargin justifyContent",
-    "Column": "alignItems itemMargin justifyContent",
-    "List": "listDirection scrollBar space",
-    "Stack": "alignContent",
-}.items()}
-COMMON_PROPERTIES = frozenset("design onClick".split())
-ACTION_PROPERTIES = frozenset("state icon actionInk".split())
-ACTION_SKIN = frozenset(
-    """backgroundColor borderColor borderRadius borderWidth color design fillColor fontColor fontSize fontWeight height layoutWeight linearGradient
-    maxFontSize maxLines minFontSize opacity padding textAlign textOverflow width""".split()
-)
-NUMBERS = frozenset(
-    "borderRadius borderWidth flexShrink fontSize layoutWeight maxFontSize maxHeight maxLines maxWidth minFontSize minHeight minWidth opacity strokeWidth".split()
-)
+COMMON_STYLES = frozenset((
+    "alignSelf", "aspectRatio", "backgroundColor", "backgroundImage", "backgroundImageSizeWithStyle", "borderColor", "borderRadius", "borderWidth",
+    "clip", "constraintSize", "flexShrink", "height", "layoutWeight", "linearGradient", "margin", "maxHeight", "maxWidth", "minHeight", "minWidth",
+    "opacity", "padding", "shadow", "visibility", "width",
+))
+STYLES = {
+    "Text": frozenset(("fontColor", "fontSize", "fontWeight", "maxFontSize", "maxLines", "minFontSize", "textAlign")),
+    "Image": frozenset(("fillColor", "objectFit")),
+    "Divider": frozenset(("color", "strokeWidth", "vertical")),
+    "Progress": frozenset(("color", "strokeWidth", "type")),
+    "Button": frozenset(("backgroundColor", "borderRadius", "fontColor", "fontSize", "fontWeight", "maxFontSize", "maxLines", "minFontSize")),
+    "Checkbox": frozenset(("mark", "selectedColor", "shape", "unSelectedColor")),
+    "Row": frozenset(("alignItems", "itemMargin", "justifyContent")),
+    "Column": frozenset(("alignItems", "itemMargin", "justifyContent")),
+    "List": frozenset(("listDirection", "scrollBar", "space")),
+    "Stack": frozenset(("alignContent",)),
+}
+COMMON_PROPERTIES = frozenset(("design", "onClick"))
+ACTION_PROPERTIES = frozenset(("state", "icon", "actionInk"))
+ACTION_SKIN = frozenset((
+    "backgroundColor", "borderColor", "borderRadius", "borderWidth", "color", "design", "fillColor", "fontColor", "fontSize", "fontWeight", "height",
+    "layoutWeight", "linearGradient", "maxFontSize", "maxLines", "minFontSize", "opacity", "padding", "textAlign", "textOverflow", "width",
+))
+NUMBERS = frozenset((
+    "borderRadius", "borderWidth", "flexShrink", "fontSize", "layoutWeight", "maxFontSize", "maxHeight", "maxLines", "maxWidth", "minFontSize",
+    "minHeight", "minWidth", "opacity", "strokeWidth",
+))
 BOUND_NUMBERS = frozenset({"layoutWeight"})
-BOOLEANS = frozenset("clip vertical".split())
-STRINGS = frozenset(
-    "alignContent alignItems alignSelf backgroundImage backgroundImageSizeWithStyle listDirection objectFit scrollBar shape textAlign type visibility state icon actionInk".split()
-)
-EDGES = frozenset("top right bottom left".split())
-LEGACY_PROPERTIES = frozenset("action event submit_form".split())
+BOOLEANS = frozenset(("clip", "vertical"))
+STRINGS = frozenset((
+    "alignContent", "alignItems", "alignSelf", "backgroundImage", "backgroundImageSizeWithStyle", "listDirection", "objectFit", "scrollBar", "shape",
+    "textAlign", "type", "visibility", "state", "icon", "actionInk",
+))
+EDGES = frozenset(("top", "right", "bottom", "left"))
+LEGACY_PROPERTIES = frozenset(("action", "event", "submit_form"))
 FORBIDDEN_FRAGMENTS = ("{{", "$item", "$__dataModel")
-OPERATORS = "=== !== == != >= <= && || + - * / % ? : > < ! ( )".split()
-LEGACY_PREFIXES = ("padding_level", "corner_radius_level", "font_weight_")
-LEGACY_SIZES = frozenset(
-    "Display_L Display_M Display_S Title_L Title_M Title_S Subtitle_L Subtitle_M Subtitle_S Body_L Body_M Body_S Caption_L Caption_M".split()
-)
-TOKEN_AWARE = frozenset(
-    "borderRadius fontSize fontWeight height itemMargin margin maxHeight maxWidth minHeight minWidth padding space strokeWidth width".split()
+OPERATORS = (
+    "===", "!==", "==", "!=", ">=", "<=", "&&", "||", "+", "-", "*", "/", "%", "?", ":", ">", "<", "!", "(", ")",
 )
-COLOR_PROPERTIES = frozenset("backgroundColor borderColor color fillColor fontColor actionInk selectedColor shadowColor strokeColor unSelectedColor".split())
+LEGACY_PREFIXES = ("padding_level", "corner_radius_level", "font_weight_")
+LEGACY_SIZES = frozenset((
+    "Display_L", "Display_M", "Display_S", "Title_L", "Title_M", "Title_S", "Subtitle_L", "Subtitle_M", "Subtitle_S", "Body_L", "Body_M", "Body_S",
+    "Caption_L", "Caption_M",
+))
+TOKEN_AWARE = frozenset((
+    "borderRadius", "fontSize", "fontWeight", "height", "itemMargin", "margin", "maxHeight", "maxWidth", "minHeight", "minWidth", "padding", "space",
+    "strokeWidth", "width",
+))
+COLOR_PROPERTIES = frozenset((
+    "backgroundColor", "borderColor", "color", "fillColor", "fontColor", "actionInk", "selectedColor", "shadowColor", "strokeColor",
+    "unSelectedColor",
+))
 SIZES = {"2x2": (160, 160), "2x4": (320, 160), "4x2": (320, 160)}
 FENCES = frozenset(("```", "```genui", "```json", "```text", "```designcompactdsl", "```design-compact-dsl"))
 DOCUMENT_FENCES = frozenset(("```", "```genui", "```jsonl", "```json"))
 
 # Colour tokens.
-COLORS = dict(line.split() for line in """
-font_primary #E5000000
-font_secondary #99000000
-font_tertiary #66000000
-font_emphasize #FF0A59F7
-font_on_primary #FFFFFFFF
-warning #FFE84026
-alert #FFED6F21
-confirm #FF64BB5C
-icon_primary #E5000000
-icon_secondary #99000000
-icon_tertiary #66000000
-icon_fourth #33000000
-icon_emphasize #FF0A59F7
-icon_on_primary #FFFFFFFF
-icon_on_secondary #99FFFFFF
-icon_on_tertiary #66FFFFFF
-icon_on_fourth #33FFFFFF
-background_primary #FFFFFFFF
-background_emphasize #FF0A59F7
-comp_background_list_card #FFFFFFFF
-comp_background_emphasize #FF0A59F7
-comp_background_tertiary #0C000000
-comp_background_secondary #19000000
-comp_background_primary_contrary #FFFFFFFF
-comp_divider #33000000
-container40 #66000000
-primary50 #7F000000
-multi_color_01 #FF564AF7
-multi_color_02 #FF46B1E3
-multi_color_03 #FF61CFBE
-multi_color_04 #FF64BB5C
-multi_color_05 #FFA5D61D
-multi_color_06 #FFAC49F5
-multi_color_07 #FFE64566
-multi_color_08 #FFE84026
-multi_color_09 #FFED6F21
-multi_color_10 #FFF9A01E
-multi_color_11 #FFF7CE00
-multi_color_aux_01 #FF8981F7
-multi_color_aux_02 #FF86C5E3
-multi_color_aux_03 #FF92D6CC
-multi_color_aux_04 #FF92C48D
-multi_color_aux_05 #FFBDDB69
-multi_color_aux_06 #FFC386F0
-multi_color_aux_07 #FFE67C92
-multi_color_aux_08 #FFE87361
-multi_color_aux_09 #FFED955F
-multi_color_aux_10 #FFF9BC64
-multi_color_aux_11 #FFF5DC62
-mask_primary #CC000000
-mask_secondary #99000000
-mask_tertiary #66000000
-mask_fourth #33000000
-mask_fifth #19000000
-mask_sixth #0C000000
-""".split("\n") if line)
+COLORS = {
+    "font_primary": "#E5000000",
+    "font_secondary": "#99000000",
+    "font_tertiary": "#66000000",
+    "font_emphasize": "#FF0A59F7",
+    "font_on_primary": "#FFFFFFFF",
+    "warning": "#FFE84026",
+    "alert": "#FFED6F21",
+    "confirm": "#FF64BB5C",
+    "icon_primary": "#E5000000",
+    "icon_secondary": "#99000000",
+    "icon_tertiary": "#66000000",
+    "icon_fourth": "#33000000",
+    "icon_emphasize": "#FF0A59F7",
+    "icon_on_primary": "#FFFFFFFF",
+    "icon_on_secondary": "#99FFFFFF",
+    "icon_on_tertiary": "#66FFFFFF",
+    "icon_on_fourth": "#33FFFFFF",
+    "background_primary": "#FFFFFFFF",
+    "background_emphasize": "#FF0A59F7",
+    "comp_background_list_card": "#FFFFFFFF",
+    "comp_background_emphasize": "#FF0A59F7",
+    "comp_background_tertiary": "#0C000000",
+    "comp_background_secondary": "#19000000",
+    "comp_background_primary_contrary": "#FFFFFFFF",
+    "comp_divider": "#33000000",
+    "container40": "#66000000",
+    "primary50": "#7F000000",
+    "multi_color_01": "#FF564AF7",
+    "multi_color_02": "#FF46B1E3",
+    "multi_color_03": "#FF61CFBE",
+    "multi_color_04": "#FF64BB5C",
+    "multi_color_05": "#FFA5D61D",
+    "multi_color_06": "#FFAC49F5",
+    "multi_color_07": "#FFE64566",
+    "multi_color_08": "#FFE84026",
+    "multi_color_09": "#FFED6F21",
+    "multi_color_10": "#FFF9A01E",
+    "multi_color_11": "#FFF7CE00",
+    "multi_color_aux_01": "#FF8981F7",
+    "multi_color_aux_02": "#FF86C5E3",
+    "multi_color_aux_03": "#FF92D6CC",
+    "multi_color_aux_04": "#FF92C48D",
+    "multi_color_aux_05": "#FFBDDB69",
+    "multi_color_aux_06": "#FFC386F0",
+    "multi_color_aux_07": "#FFE67C92",
+    "multi_color_aux_08": "#FFE87361",
+    "multi_color_aux_09": "#FFED955F",
+    "multi_color_aux_10": "#FFF9BC64",
+    "multi_color_aux_11": "#FFF5DC62",
+    "mask_primary": "#CC000000",
+    "mask_secondary": "#99000000",
+    "mask_tertiary": "#66000000",
+    "mask_fourth": "#33000000",
+    "mask_fifth": "#19000000",
+    "mask_sixth": "#0C000000",
+}
 
-# Root gradients as middle colour, its place, and end colour; all start white at 0 and end at 1, angle 145.
+# Root gradients.
 GRADIENTS = [
-    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], [middle, place], [end, 1.0]]}
-    for middle, place, end in (
-        ("#FFF4FBFF", 0.44, "#FF86C5E3"), ("#FFEAF9F3", 0.46, "#FF8FDCCC"), ("#FFF0FBF8", 0.44, "#FF92D6CC"), ("#FFFFF7CC", 0.46, "#FFFFE066"),
-        ("#FFFFF1E6", 0.46, "#FFFFC58F"), ("#FFF5EFFF", 0.44, "#FFCBB7FF"), ("#FFFFEFF4", 0.44, "#FFFFB8CA"), ("#FFF2F8FF", 0.44, "#FFBCD6FF"),
-    )
-]
+    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], ["#FFF4FBFF", 0.44], ["#FF86C5E3", 1.0]]},
+    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], ["#FFEAF9F3", 0.46], ["#FF8FDCCC", 1.0]]},
+    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], ["#FFF0FBF8", 0.44], ["#FF92D6CC", 1.0]]},
+    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], ["#FFFFF7CC", 0.46], ["#FFFFE066", 1.0]]},
+    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], ["#FFFFF1E6", 0.46], ["#FFFFC58F", 1.0]]},
+    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], ["#FFF5EFFF", 0.44], ["#FFCBB7FF", 1.0]]},
+    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], ["#FFFFEFF4", 0.44], ["#FFFFB8CA", 1.0]]},
+    {"angle": 145, "colors": [["#FFFFFFFF", 0.0], ["#FFF2F8FF", 0.44], ["#FFBCD6FF", 1.0]]},
+]
 
 # Designs, in the order in which they are matched.
 DESIGNS = {
-    "Text": {name: {"fontSize": size, "fontWeight": weight} for name, size, weight in (
-        ("display-l", 56, 300), ("display-m", 48, 300), ("display-s", 36, 700), ("title-l", 30, 700), ("title-m", 24, 700), ("title-s", 20, 700),
-        ("subtitle-l", 18, 500), ("subtitle-m", 16, 500), ("subtitle-s", 14, 500), ("body-l", 16, 500), ("body-m", 14, 400), ("body-s", 12, 400),
-        ("caption-l", 12, 500), ("caption-m", 10, 500), ("card-title", 14, 700), ("hero-value", 28, 700), ("hero-label", 12, 400), ("meta-text", 12, 400),
-    )},
+    "Text": {
+        "display-l": {"fontSize": 56, "fontWeight": 300},
+        "display-m": {"fontSize": 48, "fontWeight": 300},
+        "display-s": {"fontSize": 36, "fontWeight": 700},
+        "title-l": {"fontSize": 30, "fontWeight": 700},
+        "title-m": {"fontSize": 24, "fontWeight": 700},
+        "title-s": {"fontSize": 20, "fontWeight": 700},
+        "subtitle-l": {"fontSize": 18, "fontWeight": 500},
+        "subtitle-m": {"fontSize": 16, "fontWeight": 500},
+        "subtitle-s": {"fontSize": 14, "fontWeight": 500},
+        "body-l": {"fontSize": 16, "fontWeight": 500},
+        "body-m": {"fontSize": 14, "fontWeight": 400},
+        "body-s": {"fontSize": 12, "fontWeight": 400},
+        "caption-l": {"fontSize": 12, "fontWeight": 500},
+        "caption-m": {"fontSize": 10, "fontWeight": 500},
+        "card-title": {"fontSize": 14, "fontWeight": 700},
+        "hero-value": {"fontSize": 28, "fontWeight": 700},
+        "hero-label": {"fontSize": 12, "fontWeight": 400},
+        "meta-text": {"fontSize": 12, "fontWeight": 400},
+    },
     "Image": {
         "icon-lg": {"width": "matchParent", "height": "matchParent", "aspectRatio": 1.0, "borderRadius": 8, "objectFit": "cover", "clip": True, "flexShrink": 0},
         "source-icon": {"width": 20, "height": 20, "objectFit": "contain", "flexShrink": 0},
