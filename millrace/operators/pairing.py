@@ -86,49 +86,12 @@ def cover_all(paths: DataFrame, roots: DataFrame, case: list[str], path: str = "
     return paths.select(*case, path, F.explode(_prefixes(path)).alias(root)).join(roots.select(*case, root).distinct(), [*case, root])
 
 
-def first_full_match(rows: DataFrame, rules: DataFrame, props: str, wanted: str, order: str, key: list[str], kind: list[str]) -> DataFrame:
-    """For each row the first rule, by ``order``, all of whose ``wanted`` entries the row's ``props`` map has.
-
-    Rules are a small fixed table; they are joined by ``kind``.
-    """
-    holds = F.forall(F.map_entries(wanted), lambda e: F.try_element_at(F.col(props), e["key"]).eqNullSafe(e["value"]))
-    both = rows.join(rules, kind).where(holds)
-    best = both.groupBy(*key).agg(F.min(F.struct(order, "rule")).alias("best"))
-    return rows.join(best, key, "left").withColumn("rule", F.col("best.rule")).drop("best")
-
-
 def reverse_lookup(df: DataFrame, value: str, tokens: DataFrame) -> DataFrame:
     """Adds ``token``: the first token, by ``ord``, that stands for the value; aliases lose."""
     first = tokens.groupBy("value").agg(F.min_by("token", "ord").alias("token"))
     return df.join(first, df[value] == first["value"], "left").drop(first["value"])
 
 
-def match_events(handlers: DataFrame, candidates: DataFrame, case: str) -> DataFrame:
-    """Handlers with the candidate that stands for each: an exact one, else the first of the same call whose
-    arguments contain or are contained, or that share a link or intent name, else the only one of that call.
-
-    ``handlers(case, handler, call, args map)``, ``candidates(case, pos, call, args map)``; joined by case and call.
-    """
-    c = candidates.select(case, "call", "pos", F.col("args").alias("c_args"))
-    alone = F.count(F.lit(1)).over(_by(case, "handler"))
-    both = handlers.join(c, [case, "call"]).withColumn("same_call", alone)
-    within = lambda a, b: F.forall(F.map_entries(a), lambda e: F.try_element_at(F.col(b), e["key"]).eqNullSafe(e["value"]))
-    shared = F.lit(False)
-    for name in ("uri", "intentName"):
-        x, y = F.try_element_at(F.col("args"), F.lit(name)), F.try_element_at(F.col("c_args"), F.lit(name))
-        shared = shared | F.coalesce((x == y) & (F.length(x) > 0), F.lit(False))
-    forth, back = within("args", "c_args"), within("c_args", "args")
-    rule = F.when(forth & back, 0).when(forth | back | shared, 1).when(F.col("same_call") == 1, 2)
-    best = both.withColumn("rule", rule).where("rule is not null").groupBy(case, "handler").agg(F.min(F.struct("rule", "pos")).alias("m"))
-    return handlers.join(best, [case, "handler"], "left").select(handlers["*"], F.col("m.pos").alias("candidate"), F.col("m.rule").alias("rule"))
-
-
-def _by(*names: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
-
-
 def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return unmatched(left.select(key).distinct(), right.select(key).distinct(), key)
 

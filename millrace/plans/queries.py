@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as T
-from ..operators import audit, checks, compare, messages, ordinals, pairing, ranking, stats
+from ..operators import audit, checks, compare, containment, dictionary, messages, ordinals, pairing, ranking, stats
 from ..streaming import best
 from .registry import Tables, query
 
@@ -314,11 +314,18 @@ def unused_roots(t: Tables) -> DataFrame:
     return pairing.unused_roots(*_paths(t), ["c"]).select("root")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' AND p_size = 1 THEN 'a' WHEN p_brand = 'Brand#1' THEN 'b' WHEN p_size < 0 THEN 'c' END AS rule FROM part""")
+_RULES = [("t", 0, "a", {"brand": "Brand#1", "size": "1"}), ("t", 1, "b", {"brand": "Brand#1"}), ("t", 2, "d", {"brand": "none"}), ("t", 3, "e", {"brand": "Brand#2", "size": "3"})]
+
+
+@query("""WITH r(ord, rule, brand, size) AS (VALUES (0, 'a', 'Brand#1', '1'), (1, 'b', 'Brand#1', NULL), (2, 'd', 'none', NULL), (3, 'e', 'Brand#2', '3')),
+m AS (SELECT p_partkey, ord, rule, (p_brand = brand)::INT + coalesce((p_size::VARCHAR = size)::INT, 0) AS shared, 1 + (size IS NOT NULL)::INT AS n FROM part, r),
+c AS (SELECT p_partkey, min_by(rule, ord) FILTER (WHERE shared = n) AS rule, count(*) FILTER (WHERE shared = n) AS n_full, count(*) FILTER (WHERE shared > 0 AND shared < n) AS n_half FROM m GROUP BY p_partkey)
+SELECT p_partkey, rule, CASE WHEN n_full > 1 THEN 'ambiguous' WHEN n_full = 1 THEN 'full' WHEN n_half > 0 THEN 'half' ELSE 'none' END AS outcome, n_full, n_half FROM c""")
 def token_match(t: Tables) -> DataFrame:
+    """Parts against rules of one or two properties: full, half and ambiguous matches."""
     parts = t.part.select("p_partkey", F.lit("t").alias("kind"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")).alias("props"))
-    rules = t.spark.createDataFrame([("t", 0, "a", {"brand": "Brand#1", "size": "1"}), ("t", 1, "b", {"brand": "Brand#1"}), ("t", 2, "d", {"brand": "none"})], "kind string, ord int, rule string, wanted map<string,string>")
-    return pairing.first_full_match(parts, rules, "props", "wanted", "ord", ["p_partkey"], ["kind"]).select("p_partkey", "rule")
+    rules = t.spark.createDataFrame(_RULES, "kind string, ord int, rule string, wanted map<string,string>")
+    return containment.match_sets(parts, rules, "props", "wanted", "ord", ["p_partkey"], ["kind"]).select("p_partkey", "rule", "outcome", "n_full", "n_half")
 
 
 @query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 1 THEN 'one' END AS token FROM nation")
@@ -327,11 +334,16 @@ def reverse_lookup(t: Tables) -> DataFrame:
     return pairing.reverse_lookup(t.nation.select("n_nationkey", "n_regionkey"), "n_regionkey", tokens).select("n_nationkey", "token")
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 0 WHEN event_type = 'view' THEN 1 WHEN event_type = 'error' THEN 1 END AS candidate FROM events""".replace("WHEN event_type = 'view' THEN 1 ", ""))
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 0 WHEN event_type = 'error' THEN 1 WHEN event_type = 'view' AND user_id % 10 = 7 THEN 2 END AS candidate,
+  CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' AND user_id % 10 = 7 THEN 3 ELSE 0 END AS n_fits,
+  CASE WHEN event_type = 'view' AND user_id % 10 <> 7 THEN 2 ELSE 0 END AS n_half FROM events""")
 def event_match(t: Tables) -> DataFrame:
-    h = t.events.select(F.lit(0).alias("c"), F.col("event_id").alias("handler"), F.col("event_type").alias("call"), F.create_map(F.lit("uri"), F.col("user_id").cast("string")).alias("args"))
-    c = t.spark.createDataFrame([(0, 0, "click", {}), (0, 1, "error", {"uri": "none"})], "c int, pos int, call string, args map<string,string>")
-    return pairing.match_events(h, c, "c").select(F.col("handler").alias("event_id"), "candidate")
+    """Events against candidates of their type: exact, contained, linked, sharing some, and the only one of its type."""
+    args = F.create_map(F.lit("uri"), (F.col("user_id") % 10).cast("string"), F.lit("at"), F.lit("x"))
+    h = t.events.select(F.lit(0).alias("c"), F.col("event_id").alias("handler"), F.col("event_type").alias("call"), args.alias("args"))
+    offered = [(0, 0, "click", {}), (0, 1, "error", {"uri": "none"}), (0, 2, "view", {"uri": "7", "at": "x"}), (0, 3, "view", {"uri": "7", "at": "y"}), (0, 4, "view", {"uri": "7", "at": "x", "z": "1"})]
+    c = t.spark.createDataFrame(offered, "c int, pos int, call string, args map<string,string>")
+    return containment.match_events(h, c, "c").select(F.col("handler").alias("event_id"), "candidate", "n_fits", "n_half")
 
 
 # --- aggregations ---------------------------------------------------------------------------------------------
@@ -575,6 +587,21 @@ def leak_counts(t: Tables) -> DataFrame:
     return audit.leak_counts(t.documents, "doc_id", "text")
 
 
+_PATTERN_SQL = """SELECT DISTINCT kind, pattern FROM (SELECT 'query' AS kind, substr(text, 1, 24) AS pattern FROM benchmark
+  UNION ALL SELECT 'sample', substr(text, 1, 7) FROM conversations UNION ALL SELECT 'user', c_name FROM customer UNION ALL SELECT 'value', p_name FROM part) WHERE pattern <> ''"""
+
+
+@query(f"SELECT doc_id AS id, kind, pattern, strpos(text, pattern) - 1 AS first_at FROM documents, ({_PATTERN_SQL}) WHERE contains(text, pattern)", python=True)
+def dictionary_leaks(t: Tables) -> DataFrame:
+    """Task queries, first words of conversations, customers and part names that stand in documents."""
+    rows = [
+        t.benchmark.select(F.lit("query").alias("kind"), F.substring("text", 1, 24).alias("pattern")), t.conversations.select(F.lit("sample").alias("kind"), F.substring("text", 1, 7).alias("pattern")),
+        t.customer.select(F.lit("user").alias("kind"), F.col("c_name").alias("pattern")), t.part.select(F.lit("value").alias("kind"), F.col("p_name").alias("pattern")),
+    ]
+    patterns = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return dictionary.leaks(t.documents, "doc_id", "text", patterns).select("id", "kind", "pattern", "first_at")
+
+
 _OFFER_SQL = "SELECT DISTINCT l_orderkey AS c, l_returnflag AS kind, l_partkey AS item FROM lineitem"
 _USED_SQL = "SELECT DISTINCT l_orderkey AS c, l_returnflag AS kind, l_partkey AS item FROM lineitem WHERE l_quantity > 25"
 

@@ -101,10 +101,7 @@ def test_messages(spark):
     assert messages.normal_ids({"input_ids": [[4, 5]]}) == [4, 5]
 
 
-def test_events_and_prefixes(spark):
-    h = spark.createDataFrame([(0, "h1", "c", {"uri": "u", "x": "1"}), (0, "h2", "d", {"z": "1"}), (0, "h3", "e", {"z": "1"})], "c int, handler string, call string, args map<string,string>")
-    k = spark.createDataFrame([(0, 0, "c", {"y": "2"}), (0, 1, "c", {"uri": "u"}), (0, 2, "d", {"q": "0"}), (0, 3, "e", {"a": "1"}), (0, 4, "e", {"b": "1"})], "c int, pos int, call string, args map<string,string>")
-    assert {r.handler: r.candidate for r in pairing.match_events(h, k, "c").collect()} == {"h1": 1, "h2": 2, "h3": None}
+def test_prefixes(spark):
     p = spark.createDataFrame([(0, "/data/a/b"), (0, "/data/ab"), (0, "/x")], "c int, path string")
     r = spark.createDataFrame([(0, "/data/a"), (0, "/data"), (0, "/never")], "c int, root string")
     assert {x.path: x.covering_root for x in pairing.cover_by_prefix(p, r, ["c"]).collect()} == {"/data/a/b": "/data/a", "/data/ab": "/data", "/x": None}
