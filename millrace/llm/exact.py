@@ -115,8 +115,8 @@ def fingerprints(docs: DataFrame, hash_bits: int = 62, huge: int = HUGE_BYTES) -
 
 
 def _first() -> Column:
-    """What orders a group: the most code points, then the least doc_id, null last."""
-    return F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")
+    """What orders a group: the most code points, then the least doc_id, null last; then texts by hash, and rows alike in all of these by place."""
+    return F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "k1", "k2", "row")
 
 
 def _chunks(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -145,8 +145,9 @@ def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _verdicts(docs: DataFrame, hash_bits: int, huge: int) -> DataFrame:
     """``exact_duplicate_groups`` with each row's ``k1, k2``."""
-    pending, settled, part = pin(fingerprints(docs, hash_bits, huge).withColumn("part", F.lit(0))), [], 0
-    own = F.struct("doc_id", "k1", "k2", "sha").alias("own")
+    told = fingerprints(docs, hash_bits, huge).withColumns({"part": F.lit(0), "row": F.monotonically_increasing_id()})
+    pending, settled, part = pin(told), [], 0  # the rows' numbers are written with them
+    own = F.struct("doc_id", "k1", "k2", "sha", "row").alias("own")
     while pending is not None:
         groups = pin(pending.groupBy(_KEYS).agg(F.count(F.lit(1)).alias("group_size"), F.min(_first()).alias("first"), F.min(own).alias("own")))
         settled.append(groups.where("group_size = 1").select("own.*", "first", "group_size"))
@@ -161,11 +162,11 @@ def _verdicts(docs: DataFrame, hash_bits: int, huge: int) -> DataFrame:
             pending = pin(slim.join(mark, on, "left_semi").withColumn("part", F.lit(part)))
             alike = pin(slim.join(mark, on, "left_anti"))
             same = alike.join(small(pin(alike.groupBy(_KEYS).agg(F.count(F.lit(1)).alias("group_size"), F.min(_first()).alias("first")))), _KEYS)
-        settled.append(same.select("doc_id", "k1", "k2", "sha", "first", "group_size"))
+        settled.append(same.select("doc_id", "k1", "k2", "sha", "row", "first", "group_size"))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    kept = F.col("row") == F.col("first.row")
     return out.select("doc_id", "k1", "k2", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
@@ -174,8 +175,9 @@ def exact_duplicate_groups(docs: DataFrame, hash_bits: int = 62, huge: int = HUG
 
     Texts are equal if they agree once ASCII white space is gone; null is
     empty. The row with the most code points stays, then the one with the least
-    doc_id (null last). ``group_size`` counts rows; rows that repeat a doc_id
-    and text share its verdict. No rows give no rows; other columns are not
+    doc_id (null last), and exactly one of each group: of rows alike in both
+    the one with the least hash of its text, of rows alike in all any one.
+    ``group_size`` counts rows. No rows give no rows; other columns are not
     read. Groups come from partial aggregates and joins only, whatever their
     size, and only texts that share a fingerprint are moved.
     """
@@ -185,16 +187,18 @@ def exact_duplicate_groups(docs: DataFrame, hash_bits: int = 62, huge: int = HUG
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one that ``exact_duplicate_groups`` keeps.
 
-    Of rows that repeat its doc_id and text one stays. A null text is an empty
-    one; no rows give no rows; other columns stay as they are.
+    Rows are told apart by doc_id and text; of rows alike in both that stay,
+    one stays. A null text is an empty one; no rows give no rows; other columns
+    stay as they are.
     """
-    told = pin(_verdicts(docs, 62, HUGE_BYTES))
+    told = _verdicts(docs, 62, HUGE_BYTES).where("group_size > 1")
+    keyed = pin(told.groupBy("doc_id", "k1", "k2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
     named = [F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")]
-    kept = told.where("kept and group_size > 1")
-    several = kept.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("least")).where("n > 1")
-    again = pin(kept.join(several.select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"), "least"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_sha256") == F.col("_s"))).where("k1 = least").select(*named, F.col("text_sha256").alias("_sha")).distinct())
-    gone = pin(told.where("not kept").select(*named).union(kept.join(several.select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_sha256") == F.col("_s")), "left_semi").select(*named)).distinct())
-    own = fresh(docs, "own_k1", "own_k2", "own_sha")
+    gone, again = pin(keyed.where("not kept").select(*named)), pin(keyed.where("kept and n > 1").select(*named))
+    own = fresh(docs, "own_k1", "own_k2")
     marked = docs.select(*docs.columns, *(k.alias(name) for k, name in zip(row_key(text_of(docs).cast("string")), own)))
-    repeated = same_row(marked, own, again.withColumnRenamed("_sha", own[2]), "inner").dropDuplicates(["doc_id", own[2]])
-    return same_row(marked, own, gone, "left_anti").unionByName(repeated.select(marked.columns)).select(docs.columns)
+    left = same_row(marked, own, gone, "left_anti")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    repeated = same_row(marked, own, again, "left_semi").dropDuplicates(["doc_id", *own])
+    return same_row(left, own, again, "left_anti").unionByName(repeated).select(docs.columns)
