@@ -44,11 +44,11 @@ def conflicting_labels(df: DataFrame, text: str, label: str) -> DataFrame:
 
 
 def word_ngrams(text: Column, n: int) -> Column:
-    """Distinct n-word runs of the lower-case words, runs of letters, marks and digits of any script, of a text."""
+    """Distinct n-word runs of the lower-case words, runs of letters, marks and digits of any script, of a text; fewer words are one run."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
 
     def runs(w: Column) -> Column:
-        heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.least(F.size(w), F.lit(1))))
         return F.array_distinct(F.transform(heads, lambda _, i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
 
     return F.element_at(F.transform(F.array(words), runs), 1)  # the words are a variable there, so they are split once
@@ -59,22 +59,26 @@ def near_duplicates(df: DataFrame, id_column: str, text: str, n: int = 5, at_lea
 
     Prefix filter: a set of size s must share one of its s - ceil(t s) + 1
     rarest shingles with any partner, so only those are joined, after equal
-    texts have become one. Shingles are ordered by how many texts have them.
+    texts have become one. Shingles are ordered by how many texts have them. A
+    text of fewer than n words is one shingle, one without words has none and
+    pairs with nothing. Texts are told apart by their hash, so two of one id
+    are two; ``a`` and ``b`` are then equal.
     """
     texts = df.groupBy(F.sha2(F.col(text), 256).alias("sha")).agg(F.min(id_column).alias("id"), F.first(text).alias("t"))
-    grams = texts.select("id", F.explode(word_ngrams(F.col("t"), n)).alias("g")).withColumn("h", F.xxhash64("g"))
+    grams = texts.select("sha", "id", F.explode(word_ngrams(F.col("t"), n)).alias("g")).withColumn("h", F.xxhash64("g"))
     often = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    sets = grams.join(often, "h").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("s"))
+    sets = grams.join(often, "h").groupBy("sha").agg(F.first("id").alias("id"), F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("s"))
     sets = sets.withColumn("n", F.size("s"))
     head = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(at_least) * F.col("n")).cast("int") + 1)
-    keys = sets.select("id", "n", F.explode(head).alias("h"))
+    keys = sets.select("sha", "n", F.explode(head).alias("h"))
     a, b = keys.alias("a"), keys.alias("b")
-    lean = (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= at_least * F.col("b.n")) & (F.col("b.n") >= at_least * F.col("a.n"))
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & lean).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    lean = (F.col("a.sha") < F.col("b.sha")) & (F.col("a.n") >= at_least * F.col("b.n")) & (F.col("b.n") >= at_least * F.col("a.n"))
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & lean).select(F.col("a.sha").alias("one"), F.col("b.sha").alias("other")).distinct()
+    left, right = sets.select(F.col("sha").alias("one"), F.col("id").alias("ia"), F.col("s").alias("sa")), sets.select(F.col("sha").alias("other"), F.col("id").alias("ib"), F.col("s").alias("sb"))
+    both = pairs.join(left, "one").join(right, "other")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= at_least)
+    told = both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+    return told.where(F.col("similarity") >= at_least)
 
 
 def contamination(df: DataFrame, id_column: str, text: str, benchmark: DataFrame, item: str, item_text: str, n: int = 8) -> DataFrame:

@@ -1,7 +1,8 @@
 """Exact statistics: percentiles, run reports, reward groups.
 
-Percentiles are exact. They aggregate value counts map-side, so a task holds
-distinct values (token counts, latencies), not rows.
+Percentiles are exact. Those of groups of any size narrow ranges of values
+(``selection.select_ranks``); the one-row reports of a run aggregate value
+counts map-side, so a task holds distinct values (token counts, latencies).
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import middle, nearest, ranks_beside, rounded, select_ranks
+
 
 def nearest_rank(column: str, q: float, kind: str = "bigint") -> Column:
     """The value at rank ceil(n * q), at least 1; null over no rows."""
@@ -32,26 +35,30 @@ def numeric_summary(column: str, prefix: str = "") -> list[Column]:
     ]
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+def rounded_rank_percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """``share, value``: the value at index round((n - 1) * share) of the sorted rows, halves to even; by narrowing ranges."""
+    chosen = select_ranks(df, column, {repr(float(s)): rounded(float(s)) for s in shares})
+    return chosen.select(F.col("name").cast("double").alias("share"), "value")
 
 
-def rounded_rank_percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """``share, value``: the value at index round((n - 1) * share) of the sorted rows, halves to even.
+def group_medians(df: DataFrame, group: list[str], column: str) -> DataFrame:
+    """``group..., median``: cut to an integer: of two middle values the mean without its fraction."""
+    middles = ranks_beside(df, df.groupBy(*group).agg(F.count(column).alias("_n")), column, middle(), group)
+    return middles.select(*group, F.floor((F.col("low") + F.col("high")) / 2).cast("long").alias("median"))
 
-    Ranks are looked up among running counts of distinct values; one row a distinct value meets in a task.
-    """
-    w = Window.orderBy(column)
-    runs = value_counts(df, column).withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    wanted = F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")
-    ranked = runs.select(F.col(column).alias("value"), "upto", "n", "total", wanted)
-    index = F.bround((F.col("total") - 1) * F.col("share"), 0)
-    return ranked.where((index >= F.col("upto") - F.col("n")) & (index < F.col("upto"))).select("share", "value")
+
+def length_report(df: DataFrame, column: str, group: list[str]) -> DataFrame:
+    """``group..., count, min, p50, p90, p95, p99, max`` of a length, for many groups at once."""
+    base = df.groupBy(*group).agg(F.count(F.lit(1)).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"))
+    ranks = {f"p{round(q * 100)}": nearest(q) for q in (0.5, 0.9, 0.95, 0.99)}
+    return ranks_beside(df, base, column, ranks, group, "long").select(*group, "count", "min", *ranks, "max")
 
 
-def whole_median(column: str) -> Column:
-    """The median cut to an integer: of two middle values the mean without its fraction."""
-    return F.expr(f"cast(median({column}) as bigint)")
+def numeric_report(df: DataFrame, column: str, group: list[str]) -> DataFrame:
+    """``group..., min, p50, p95, max, avg`` as doubles."""
+    d = lambda c, name: c.cast("double").alias(name)
+    base = df.groupBy(*group).agg(d(F.min(column), "min"), d(F.max(column), "max"), d(F.avg(column), "avg"))
+    return ranks_beside(df, base, column, {"p50": nearest(0.5), "p95": nearest(0.95)}, group, "double").select(*group, "min", "p50", "p95", "max", "avg")
 
 
 def first_longest(df: DataFrame, index: str, length: str) -> DataFrame:

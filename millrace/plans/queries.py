@@ -353,13 +353,13 @@ _DISC = ", ".join(f"CAST(quantile_disc(n_chars, {q}) AS BIGINT) AS p{p}" for q,
 
 @query(f"SELECT lang, count(*) AS count, min(n_chars) AS min, {_DISC}, max(n_chars) AS max FROM documents GROUP BY lang")
 def token_stats_by_lang(t: Tables) -> DataFrame:
-    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), *stats.length_summary("n_chars"))
+    return stats.length_report(t.documents, "n_chars", ["lang"])
 
 
 @query("""SELECT event_type, CAST(min(value) AS DOUBLE) AS min, CAST(quantile_disc(value, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(value, 0.95) AS DOUBLE) AS p95,
   CAST(max(value) AS DOUBLE) AS max, round(avg(value), 6) AS avg FROM events GROUP BY event_type""")
 def numeric_summary(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(*stats.numeric_summary("value")).withColumn("avg", F.round("avg", 6))
+    return stats.numeric_report(t.events, "value", ["event_type"]).withColumn("avg", F.round("avg", 6))
 
 
 @query("""WITH s AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents)
@@ -370,7 +370,7 @@ def preflight_percentiles(t: Tables) -> DataFrame:
 
 @query("SELECT lang, CAST(floor(median(n_chars)) AS BIGINT) AS median FROM documents GROUP BY lang")
 def whole_median(t: Tables) -> DataFrame:
-    return t.documents.groupBy("lang").agg(stats.whole_median("n_chars").alias("median"))
+    return stats.group_medians(t.documents, ["lang"], "n_chars")
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1")
@@ -560,7 +560,7 @@ def conflicting_labels(t: Tables) -> DataFrame:
     return audit.conflicting_labels(t.documents.join(t.labels, "doc_id"), "source", "quality")
 
 
-_GRAM_SQL = "list_distinct(list_transform(range(1, greatest(len(w) - {k} + 1, 1)), lambda i: array_to_string(w[i:i+{k}-1], ' ')))".replace("range(1, greatest(len(w) - {k} + 1, 1))", "range(1, greatest(len(w) - {k} + 2, 1))")
+_GRAM_SQL = "list_distinct(list_transform(range(1, greatest(len(w) - {k} + 1, 1)), lambda i: array_to_string(w[i:i+{k}-1], ' ')))".replace("range(1, greatest(len(w) - {k} + 1, 1))", "range(1, greatest(len(w) - {k} + 2, least(len(w), 1) + 1))")
 _WORDS_SQL = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS w"
 
 

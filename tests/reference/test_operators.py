@@ -28,6 +28,35 @@ def test_percentiles(spark):
         assert got == {q: sorted(range(1, n + 1))[round((n - 1) * q)] for q in (0.5, 0.95)}
 
 
+def test_ranks_of_groups_by_narrowing(spark):
+    from millrace.operators import selection
+
+    rnd = random.Random(3)
+    kinds = {"big": lambda: rnd.randrange(-(2**62), 2**62), "near": lambda: 2**60 + rnd.randrange(5), "same": lambda: 7, "small": lambda: rnd.randrange(-3, 900)}
+    rows = [(g, make()) for g, make in kinds.items() for _ in range(rnd.randint(150, 400))] + [("one", 5), ("none", None), (None, 1), (None, 3)]
+    ranks = {"low": selection.nearest(0.1), "mid": selection.nearest(0.5), "also": F.lit(3), "top": F.col("n") * 2}
+    rows += [("wide", -(2**63)), ("wide", 2**63 - 1), ("wide", 0), ("wide", -1)]
+    for cells in (16, 4096):
+        got = {(r.g, r.name): r.value for r in selection.select_ranks(spark.createDataFrame(rows, "g string, v long").repartition(5), "v", ranks, ["g"], cells).collect()}
+        want = {}
+        for g in {g for g, _ in rows} - {"none"}:
+            v = sorted(x for h, x in rows if h == g and x is not None)
+            at = {"low": math.ceil(len(v) * 0.1) - 1, "mid": math.ceil(len(v) * 0.5) - 1, "also": min(3, len(v) - 1), "top": len(v) - 1}
+            want |= {(g, k): v[i] for k, i in at.items()}
+        assert got == want
+    floats = [(x,) for x in (1e300, -1e300, 1e-300, 0.0, -0.5, 2.5, 2.5, float("nan"), None, float("inf"), float("-inf"))]
+    got = {r.name: r.value for r in selection.select_ranks(spark.createDataFrame(floats, "v double"), "v", {str(i): F.lit(i) for i in range(9)}).collect()}
+    assert [got[str(i)] for i in range(9)] == [float("-inf"), -1e300, -0.5, 0.0, 1e-300, 2.5, 2.5, 1e300, float("inf")]
+    assert selection.select_ranks(spark.createDataFrame([], "v double"), "v", {"a": F.lit(0)}).collect() == []
+
+
+def test_short_texts_are_one_shingle(spark):
+    df = spark.createDataFrame([(1, "one two three four"), (2, "one two three  four!"), (3, "one two three"), (4, ""), (5, "x"), (5, "X.")], "id int, t string")
+    assert {(r.a, r.b) for r in audit.near_duplicates(df, "id", "t").collect()} == {(1, 2), (5, 5)}
+    items = spark.createDataFrame([(9, "Three four"), (8, "absent words"), (7, "")], "item int, t string")
+    assert {(r.doc, r.item) for r in audit.contamination(df, "id", "t", items, "item", "t", 2).collect()} == {(1, 9), (2, 9)}
+
+
 def test_group_advantage(spark):
     rows = [(1, i, r) for i, r in enumerate((1.0, 0.0, 0.0, 0.0))] + [(2, i, 1.0) for i in range(4)]
     got = {(r.g, r.i): r.advantage for r in stats.group_advantage(spark.createDataFrame(rows, "g int, i int, reward double"), ["g"], "reward").collect()}
