@@ -163,14 +163,17 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> list[tuple[int, list[str]]]:
-    """(label, words) of about so many labelled rows, chosen by hash; held-out rows never come in."""
+    """(label, words) of about so many labelled rows, of long ones a piece, chosen by hash; held-out rows never come in."""
     known = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {y: min(1.0, most / max(1, sizes.get(y, 0))) for y, most in ((1, toxic_rows), (0, ordinary_rows))}
     place = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     bound = 2 * (toxic_rows + ordinary_rows)
     chosen = known.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    # of a longer text SAMPLE_CHARS code points from a place that its hash picks
+    whole, spare = F.col("text").cast("string"), F.length(F.col("text").cast("string")) - SAMPLE_CHARS
+    start = F.when(spare > 0, F.pmod(F.xxhash64(F.lit("piece"), "doc_id", whole), spare + 1)).otherwise(F.lit(0)).cast("int") + 1
+    texts = docs.select("doc_id", F.substring(whole, start, F.lit(SAMPLE_CHARS)).alias("text")).where("text is not null")
     # at most ``bound`` ids are broadcast, so no text is shuffled
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(bound)
     return [(int(r["toxic"]), words_of(r["text"])) for r in rows.collect()]

@@ -77,3 +77,19 @@ def test_scores_match_plain_zstandard(spark, make_docs, odd_rows):
 
 def test_too_little_to_learn_scores_zero(spark, make_docs):
     assert {r.score for r in report(spark, make_docs, corpus(40))} == {0.0}
+
+
+def test_long_rows_are_learned(spark, make_docs):
+    rnd = random.Random(12)
+    plain = ["".join(rnd.choice("abcdeflmnorst") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    rows = []
+    for i in range(160):
+        words = [rnd.choice(plain) for _ in range(15_000)]
+        if i % 3 == 0:
+            for at in range(0, len(words), 40):
+                words[at] = rnd.choice(BAD)
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    assert min(len(r[1]) for r in rows) > 80_000
+    got = {r.doc_id: r for r in report(spark, make_docs, rows)}
+    held = [r for r in rows if got[r[0]].held_out]
+    assert len(held) > 30 and all(got[r[0]].predicted == r[2] for r in held)
