@@ -28,7 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash stays."""
+    """One document of each class of near copies stays: candidates by SimHash bytes and min-wise keys, links by the texts' shingle sets."""
     ship_package(spark)
     return simhash.drop_near_duplicates(docs)
 
