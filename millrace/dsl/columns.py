@@ -24,33 +24,38 @@ def _outcome(function, *arrays: pa.Array) -> pa.Array:
     return pa.array(out, kind)
 
 
+def _once(function, kind: str):
+    """An Arrow function that a filter on its result does not run a second time: Spark moves and repeats deterministic ones."""
+    return F.arrow_udf(function, kind).asNondeterministic()
+
+
 def to_document(card: Column, size: Column) -> Column:
     """ok, error_type, error and text: the document of a card."""
-    return F.arrow_udf(lambda c, s: _outcome(document.to_document, c, s), _OUTCOME)(card, size)
+    return _once(lambda c, s: _outcome(document.to_document, c, s), _OUTCOME)(card, size)
 
 
 def to_card(text: Column, size: Column) -> Column:
-    return F.arrow_udf(lambda c, s: _outcome(reverse.to_card, c, s), _OUTCOME)(text, size)
+    return _once(lambda c, s: _outcome(reverse.to_card, c, s), _OUTCOME)(text, size)
 
 
 def expand_tokens(card: Column) -> Column:
-    return F.arrow_udf(lambda c: _outcome(document.expand_tokens, c), _OUTCOME)(card)
+    return _once(lambda c: _outcome(document.expand_tokens, c), _OUTCOME)(card)
 
 
 def verify(text: Column, size: Column) -> Column:
     """The round-trip report of a document as JSON in ``text``."""
-    return F.arrow_udf(lambda c, s: _outcome(lambda d, z: document.compact(reverse.verify(d, z)[2]), c, s), _OUTCOME)(text, size)
+    return _once(lambda c, s: _outcome(lambda d, z: document.compact(reverse.verify(d, z)[2]), c, s), _OUTCOME)(text, size)
 
 
 def check_context(card: Column, task: Column, card_spec: Column) -> Column:
     """Context warnings as a JSON list in ``text``; task and specification are JSON texts."""
     one = lambda c, x, y: json.dumps(context.check_context(c, json.loads(x), json.loads(y)))
-    return F.arrow_udf(lambda *a: _outcome(one, *a), _OUTCOME)(card, task, card_spec)
+    return _once(lambda *a: _outcome(one, *a), _OUTCOME)(card, task, card_spec)
 
 
 def mend(card: Column, task: Column, card_spec: Column) -> Column:
     one = lambda c, x, y: context.mend(c, json.loads(x), json.loads(y))
-    return F.arrow_udf(lambda *a: _outcome(one, *a), _OUTCOME)(card, task, card_spec)
+    return _once(lambda *a: _outcome(one, *a), _OUTCOME)(card, task, card_spec)
 
 
 def expression_paths(expression: Column) -> Column:
