@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin
+from .common import pin, small
 
 SEGMENT_BYTES, ARCHIVE_BYTES, HTTP_CHUNK = 16 << 10, 4 << 20, 4 << 10
 #: Equal payloads from this size on are written once.
@@ -112,21 +112,24 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT_BYTES, archive_bytes
     largest page_id is the response, and the others revisit it; null page_ids
     come before all others, and of rows with one page_id the later counts as
     larger. Null html is an empty payload. Equality is told by SHA-1 and
-    length. A payload with a third of all pages costs one aggregate and a join
-    that splits by size, as only digests are grouped.
+    length. The numbered rows are written once, so that a rerun task finds the
+    same numbers. Only digests are grouped and joined; the payloads stay where
+    they are unless the marks are too many to broadcast.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page"), F.col("page_id").alias("order_id"),
-        F.col("url").cast("string").alias("url"), payload.alias("payload"),
-    ).withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
+    rows = pin(
+        pages.select(
+            F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page"), F.col("page_id").alias("order_id"),
+            F.col("url").cast("string").alias("url"), payload.alias("payload"),
+        ).withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
+    )
     slim = rows.where(F.col("n") >= REVISIT_BYTES).select("row", "order_id", "page", "digest", "n")
     key = F.struct(F.col("order_id").isNotNull().alias("known"), "order_id", "row", "page")
     held = slim.groupBy("digest", "n").agg(F.max(key).alias("held"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "n", "held")
     marks = pin(
         slim.join(held, ["digest", "n"]).where("row <> held.row").select("row", F.col("held.row").alias("refers_row"), F.col("held.page").alias("refers_to"))
     )
-    whole = rows.drop("digest", "n", "order_id").join(marks, "row", "left")
+    whole = rows.drop("digest", "n", "order_id").join(small(marks), "row", "left")
 
     def run(batches):
         size, held, serial = 0, [], 0
