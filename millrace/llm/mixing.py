@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, fresh, pin
+from .common import WORD_PATTERN, fresh, pin, row_key
 
 #: Weights by the source's rank, repeating, and the most passes over a source.
 WEIGHTS, MAX_EPOCHS = (1.0, 2.0, 3.0), 3
@@ -86,7 +86,12 @@ def _ramp(ramps, i: int, rank: Column | None = None) -> Column:
     return F.element_at(F.array(*(F.lit(float(r[i])) for r in ramps)), (rank % len(ramps) + 1).cast("int"))
 
 
-def mix_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, ramps=RAMPS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def own_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of text and source, which tell rows with one doc_id apart."""
+    return row_key(F.concat_ws("\0", source_key(F.col("source")), F.col("text").isNotNull().cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def mix_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, ramps=RAMPS, max_epochs: int = MAX_EPOCHS, keyed: bool = False) -> DataFrame:
     """One row per row of ``docs``, range-sorted by training position.
 
     ``doc_id, size, source_size, target, taken, position``: a source's stream
@@ -95,11 +100,14 @@ def mix_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, ramps=RAMP
     the last, partial pass reaches, so a source takes its target to the word.
     ``position`` is the t of the first occurrence (null if nothing is taken).
     Null text: size 0; null source: a source, ranked last; null doc_id and ties
-    in the order: by size; rows alike in all of these are interchangeable. No
+    in the order: by size; rows alike in all of these are interchangeable.
+    ``keyed`` adds ``k1, k2`` of ``own_keys``, which then break such ties. No
     rows give no rows. Prefix sums go through hash slices, so a source that
     holds most rows is spread like any other.
     """
-    slim = pin(docs.select("doc_id", source_key(F.col("source")).alias("source"), word_count(F.col("text")).alias("size")))
+    keys = ["k1", "k2"] if keyed else []
+    own = [k.alias(n) for k, n in zip(own_keys(docs), keys)]
+    slim = pin(docs.select("doc_id", source_key(F.col("source")).alias("source"), word_count(F.col("text")).alias("size"), *own))
     slices = 256
     rows = slim.count()
     while slices < 65536 and rows / slices > SLICE_ROWS:
@@ -109,7 +117,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, ramps=RAMP
     per_slice = cut.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.withColumn("slice_at", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0))).drop("slice_size")
-    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(offsets, ["source", "slice"]).withColumn("at", F.col("at") + F.col("slice_at"))
     joined = placed.join(targets, "source").withColumn("whole", F.floor("target").cast("long"))
@@ -120,7 +128,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, ramps=RAMP
     joined = joined.withColumn("taken", taken).withColumn(
         "position", F.when(F.col("taken") > 0, F.round(demand_time(F.col("at").cast("double"), F.col("target"), _ramp(ramps, 0), _ramp(ramps, 1)), 6))
     )
-    return joined.select("doc_id", "size", "source_size", "target", "taken", "position", "at", "rank").orderBy(
+    return joined.select("doc_id", "size", "source_size", "target", "taken", "position", "at", "rank", *keys).orderBy(
         F.col("position").asc_nulls_last(), "rank", "at", "doc_id"
     )
 
@@ -133,15 +141,20 @@ def mix_corpus(docs: DataFrame, ramps=RAMPS, **options) -> DataFrame:
     there. Occurrences are range-sorted by that position. A document of which
     nothing is taken goes, unless it has no words: such documents stay, first.
     Null text: no words; null source: a source, ranked last. Rows that share a
-    doc_id, null too, share one verdict, the most that is taken of one of them,
-    so their source may come out above its target. No rows give no rows.
+    doc_id, null too, have verdicts of their own by text and source; rows alike
+    in all three share one, the most that is taken of one of them. No rows give
+    no rows.
     """
-    key, times, start, turn, place = fresh(docs, "mix_id", "mix_times", "mix_start", "mix_pass", "mix_position")
+    names = fresh(docs, "mix_id", "mix_k1", "mix_k2", "mix_own_k1", "mix_own_k2", "mix_times", "mix_start", "mix_pass", "mix_position")
+    key, k1, k2, own1, own2, times, start, turn, place = names
     occurrences = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
     stream = F.struct("position", "at", "rank", "source_size", "target")
-    mixed = mix_documents(docs, ramps=ramps, **options).select(F.col("doc_id").alias(key), stream.alias(start), occurrences.alias(times))
-    chosen = mixed.where(F.col(times) > 0).groupBy(key).agg(F.max(times).alias(times), F.min(start).alias(start))
-    out = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(key)))
+    mixed = mix_documents(docs, ramps=ramps, keyed=True, **options).select(
+        F.col("doc_id").alias(key), F.col("k1").alias(k1), F.col("k2").alias(k2), stream.alias(start), occurrences.alias(times)
+    )
+    chosen = mixed.where(F.col(times) > 0).groupBy(key, k1, k2).agg(F.max(times).alias(times), F.min(start).alias(start))
+    whose = docs.withColumns(dict(zip((own1, own2), own_keys(docs))))
+    out = whose.join(chosen, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own1) == F.col(k1)) & (F.col(own2) == F.col(k2)))
     of = lambda name: F.col(start)[name]
     words = of("at") + (F.col(turn) - 1) * of("source_size")
     position = demand_time(words.cast("double"), of("target"), _ramp(ramps, 0, of("rank")), _ramp(ramps, 1, of("rank")))

@@ -94,3 +94,26 @@ def test_every_occurrence_has_its_own_position(make_docs):
     assert got == [w[-1] for w in sorted(want)]
     last_first = max(i for i, w in enumerate(sorted(want)) if w[3] == 0)
     assert sum(w[3] == 1 for w in sorted(want)[:last_first]) > 40  # second passes start before the last first one
+
+
+def test_rows_with_one_id_have_their_own_verdicts(make_docs):
+    rnd = random.Random(5)
+    rows = [(i // 4, f"t{i} " * rnd.randint(1, 30), None, "big" if i % 4 else f"s{i % 3}") for i in range(400)]
+    rows += [(None, f"n{i} w", None, "big") for i in range(40)] + [(7, None, None, "big"), (7, "", None, "big")]
+    docs = make_docs(rows)
+    size, words = defaultdict(int), defaultdict(int)
+    for _, t, _, s in rows:
+        size[s] += len((t or "").split())
+    got = mixing.mix_corpus(docs).collect()
+    for r in got:
+        words[r.source] += len((r.text or "").split())
+    for s, want in water_fill(size, mixing.WEIGHTS).items():
+        assert want - 1 < words[s] < want + 30, s  # a started pass over one document counts whole
+    assert sum(r.text == "" for r in got) == 1 and sum(r.text is None for r in got) == 1
+    assert [tuple(r) for r in mixing.mix_corpus(make_docs(list(reversed(rows)))).collect()] == [tuple(r) for r in got]
+
+
+def test_corpus_of_odd_and_no_rows(make_docs, odd_rows):
+    assert mixing.mix_corpus(make_docs([])).collect() == []
+    rows = [(i, t, None, "a") for i, t in odd_rows]
+    assert mixing.mix_corpus(make_docs(rows, extra=True)).count() >= len(rows)

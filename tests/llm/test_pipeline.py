@@ -66,3 +66,10 @@ def test_stages_against_plain_python(spark, make_docs, tmp_path):
     assert sorted((r.doc_id, list(r.ids)) for r in final) == want
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, list(r.ids)) for r in whole) == want
+
+
+def test_no_rows_and_odd_rows_pass_every_stage(spark, make_docs, odd_rows, tmp_path):
+    for name, rows in (("none", []), ("odd", [(i, t, "en", None) for i, t in odd_rows])):
+        folder = tmp_path / name
+        make_docs([*rows, *([(1000 + i, t, lang, s) for i, t, lang, s in corpus(60)] if rows else [])]).write.parquet(str(folder / "documents.parquet"))
+        assert (corpus_pipeline.run(spark, str(folder)).count() > 0) == bool(rows)
