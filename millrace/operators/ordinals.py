@@ -17,7 +17,8 @@ from .checks import DataError
 _PARTITION_ROWS = 1 << 33
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: evaluated once, and there if an executor is lost."""
     path = work_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -38,7 +39,7 @@ def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "pos", st
     sort = [*map(F.col, group), *order, F.xxhash64(*plain)]
     ranged = df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)
     placed = ranged.sortWithinPartitions(*sort).select(*df.columns, F.monotonically_increasing_id().alias("_row"))
-    placed = _written(placed.withColumns({"_part": F.expr(f"_row div {_PARTITION_ROWS}"), "_row": F.col("_row") % _PARTITION_ROWS}))
+    placed = written(placed.withColumns({"_part": F.expr(f"_row div {_PARTITION_ROWS}"), "_row": F.col("_row") % _PARTITION_ROWS}))
     parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     ahead = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_ahead"))

@@ -1,4 +1,4 @@
-"""Splits, top-k, probes, batches and best-so-far."""
+"""Splits, top-k, probes and batches."""
 
 from __future__ import annotations
 
@@ -99,26 +99,3 @@ def batches(df: DataFrame, order: list[str], size: int, group: list[str] | None
 
 def latency_per_row(df: DataFrame, batch: list[str], latency: str) -> DataFrame:
     return df.withColumn("row_latency", F.col(latency) / F.count(F.lit(1)).over(Window.partitionBy(*batch)))
-
-
-def best_so_far(df: DataFrame, group: list[str], step: str, loss: str, min_delta: float = 0.0) -> DataFrame:
-    """One row a group: the steps at which a finite loss was better than the best by more than ``min_delta``.
-
-    The best moves only when a step is accepted, so this folds over a run's steps in order; a run's log is one array.
-    """
-    row = F.struct(F.col(step).alias("step"), F.col(loss).cast("double").alias("loss"))
-    finite = F.col(loss).isNotNull() & ~F.isnan(F.col(loss).cast("double")) & (F.abs(F.col(loss)) < float("inf"))
-    runs = df.where(finite).groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("log"))
-    start = F.struct(F.lit(float("inf")).alias("best"), F.array().cast("array<bigint>").alias("steps"))
-    fold = F.aggregate(
-        "log", start,
-        lambda a, x: F.when(x["loss"] < a["best"] - min_delta, F.struct(x["loss"].alias("best"), F.concat(a["steps"], F.array(x["step"].cast("bigint"))).alias("steps"))).otherwise(a),
-    )
-    return runs.withColumn("fold", fold).select(*group, F.col("fold.best").alias("best_loss"), F.col("fold.steps").alias("accepted_steps"), F.size("fold.steps").alias("n_accepted"))
-
-
-def improvements(df: DataFrame, group: list[str], step: str, loss: str) -> DataFrame:
-    """The rows that set a new minimum (no minimum gain): a running minimum over earlier rows."""
-    w = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.min(loss).over(w)
-    return df.where(F.col(loss).isNotNull() & ~F.isnan(F.col(loss).cast("double"))).withColumn("_before", before).where(F.col("_before").isNull() | (F.col(loss) < F.col("_before"))).drop("_before")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as T
-from ..operators import audit, checks, compare, containment, dictionary, messages, ordinals, pairing, ranking, stats
-from ..streaming import best
+from ..operators import audit, best, checks, compare, containment, dictionary, messages, ordinals, pairing, ranking, stats
+from ..streaming import best as streams
 from .registry import Tables, query
 
 # --- stand-ins: columns of the tables in the roles the operators need -----------------------------------------
@@ -505,16 +505,25 @@ def batch_latency(t: Tables) -> DataFrame:
 @query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE value IS NOT NULL),
 f AS (SELECT user_id, 1::BIGINT AS r, value AS best, 1::BIGINT AS n FROM o WHERE r = 1 UNION ALL
  SELECT f.user_id, f.r + 1, CASE WHEN o.value < f.best - 0.5 THEN o.value ELSE f.best END, f.n + CASE WHEN o.value < f.best - 0.5 THEN 1 ELSE 0 END FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)
-SELECT user_id, min(best) AS best_loss, max(n) AS n_accepted FROM f GROUP BY user_id""")
+SELECT user_id, min(best) AS best_loss, max(n) AS n_accepted FROM f GROUP BY user_id""", python=True)
 def best_checkpoint(t: Tables) -> DataFrame:
-    b = ranking.best_so_far(t.events, ["user_id"], "event_id", "value", 0.5)
+    b = best.best_so_far(t.events, ["user_id"], "event_id", "value", 0.5)
     return b.select("user_id", "best_loss", F.col("n_accepted").cast("long").alias("n_accepted"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE value IS NOT NULL),
+f AS (SELECT user_id, event_id, 1::BIGINT AS r, value AS best, true AS kept FROM o WHERE r = 1 UNION ALL
+ SELECT f.user_id, o.event_id, f.r + 1, CASE WHEN o.value < f.best - 2.5 THEN o.value ELSE f.best END, o.value < f.best - 2.5 FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)
+SELECT user_id, event_id, best AS loss FROM f WHERE kept""", python=True)
+def accepted_checkpoints(t: Tables) -> DataFrame:
+    told = best.accepted_steps(t.events, ["user_id"], "event_id", "value", 2.5)
+    return told.select("user_id", "event_id", F.col("value").alias("loss"))
+
+
 @query("""SELECT event_id, user_id, value FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events)
 WHERE b IS NULL OR value < b""")
 def new_minima(t: Tables) -> DataFrame:
-    return ranking.improvements(t.events.select("event_id", "user_id", "value"), ["user_id"], "event_id", "value")
+    return best.improvements(t.events.select("event_id", "user_id", "value"), ["user_id"], "event_id", "value")
 
 
 # --- sets -----------------------------------------------------------------------------------------------------
@@ -632,7 +641,7 @@ def unused_positions(t: Tables) -> DataFrame:
 @query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(t: Tables) -> DataFrame:
     """A table has no late rows, so all are counted."""
-    return best.windowed_counts(t.events, "ts", "event_type").select(F.unix_timestamp("window.start").alias("hour_s"), "event_type", "n")
+    return streams.windowed_counts(t.events, "ts", "event_type").select(F.unix_timestamp("window.start").alias("hour_s"), "event_type", "n")
 
 
 @query("""SELECT p_type AS name, CAST(count(*) FILTER (WHERE p_size <= 3) AS BIGINT) AS token_hits, CAST(count(*) FILTER (WHERE p_size > 3) AS BIGINT) AS explicit, count(DISTINCT p_size) AS "values" FROM part GROUP BY 1""")

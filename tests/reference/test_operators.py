@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import audit, checks, compare, launch, messages, pairing, ranking, stats
+from millrace.operators import audit, best, checks, compare, launch, messages, pairing, ranking, stats
 from millrace.operators.checks import DataError
 
 
@@ -91,8 +91,8 @@ def test_probe_cycles(spark):
 def test_best_so_far(spark):
     losses = [(1, s, x) for s, x in enumerate((5.0, 4.8, float("nan"), 4.4, 4.39, 3.0))]
     df = spark.createDataFrame(losses, "run int, step int, loss double")
-    assert ranking.best_so_far(df, ["run"], "step", "loss", 0.5).first().accepted_steps == [0, 3, 5]
-    assert ranking.best_so_far(df, ["run"], "step", "loss").first().accepted_steps == [0, 1, 3, 4, 5]
+    assert best.best_so_far(df, ["run"], "step", "loss", 0.5).first().accepted_steps == [0, 3, 5]
+    assert best.best_so_far(df, ["run"], "step", "loss").first().accepted_steps == [0, 1, 3, 4, 5]
 
 
 def test_pairing(spark):
