@@ -8,10 +8,10 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions.text import format_metric, format_percent
 from ..operators.checks import DataError, gate
+from .committed import write_files_committed
 
 
 def write_parquet(df: DataFrame, path: str, files: int | None = None) -> int:
@@ -59,43 +59,9 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     json_lines(df).write.mode("errorifexists").text(path)
 
 
-class FilePerRow(DataSource):
-    """Sink: a file ``<name><suffix>`` for each row (name, text) in a folder that all executors mount."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "file_per_row"
-
-    def schema(self) -> str:
-        return "name string, text string"
-
-    def writer(self, schema, overwrite):
-        return _FileWriter(self.options["path"], self.options.get("suffix", ""))
-
-
-class _FileWriter(DataSourceWriter):
-    def __init__(self, path: str, suffix: str):
-        self.path, self.suffix = path, suffix
-
-    def write(self, iterator: iter) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        for row in iterator:
-            if "/" in row.name or row.name.startswith("."):
-                raise DataError(f"{row.name} is no file name")
-            target = os.path.join(self.path, row.name + self.suffix)
-            handle, temporary = tempfile.mkstemp(dir=self.path, prefix=".part-")
-            with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as f:
-                f.write(row.text)
-            os.replace(temporary, target)  # a retried task writes the same file again
-        return WriterCommitMessage()
-
-
-def write_file_per_row(df: DataFrame, name: str, text: str, folder: str, suffix: str = ".card.genui.jsonl") -> None:
-    if os.path.lexists(folder):
-        raise DataError(f"{folder} is there already")
-    df.sparkSession.dataSource.register(FilePerRow)
-    rows = df.select(F.col(name).alias("name"), F.col(text).alias("text"))
-    rows.write.format("file_per_row").mode("append").option("suffix", suffix).save(folder)
+def write_file_per_row(df: DataFrame, name: str, text: str, folder: str, suffix: str = ".card.genui.jsonl") -> int:
+    """A file a row in a new folder that appears whole or not at all; how many they are."""
+    return write_files_committed(df, name, text, folder, suffix)
 
 
 def remove_stale(paths: list[str]) -> None:
