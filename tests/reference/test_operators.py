@@ -154,3 +154,21 @@ def test_launch_arithmetic():
     assert launch.launch_plan(16, 2, 32, 2, 4096, 4096) == {"data_parallel": 8, "local_batch": 4, "accumulation": 2}
     with pytest.raises(DataError):
         launch.launch_plan(16, 2, 30, 2, 4096, 4096)
+
+
+@pytest.mark.parametrize("cast", ["long", "double"])
+def test_bootstrap_draws_in_parts_and_pieces_like_one_generator(spark, monkeypatch, cast):
+    monkeypatch.setattr(compare, "WORDS", 64)
+    monkeypatch.setattr(compare, "GROUPS", 7)
+    d = [(i * 37) % 11 - 5 for i in range(150)]
+    rng = random.Random(3)
+    means = sorted(sum(d[rng.randrange(150)] for _ in range(150)) / 150 for _ in range(40))
+    want = (means[round(39 * 0.025)], means[round(39 * 0.975)])
+    df = spark.createDataFrame(list(enumerate(d)), "i long, v long").withColumn("v", F.col("v").cast(cast)).repartition(5)
+    assert tuple(compare.bootstrap_exact(df, "i", "v", 40, 3).first()) == want
+    monkeypatch.setattr(compare, "PIECE_VALUES", 64)
+    monkeypatch.setattr(compare, "BLOCK_VALUES", 16)
+    assert tuple(compare.bootstrap_exact(df, "i", "v", 40, 3).first()) == want
+    starts = list(compare._starts(150, [0, 5, 40], 3))
+    assert [s[:3] for s in starts] == [(0, 0, 5), (1, 5, 40)]  # states only: no task holds the draws
+    assert compare.bootstrap_exact(df.where("i < 0"), "i", "v", 40, 3).collect() == []
