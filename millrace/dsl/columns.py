@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,15 @@ def _once(function, kind: str):
     return F.arrow_udf(function, kind).asNondeterministic()
 
 
+#: Tasks a core that cards are dealt out to.
+TASKS = 4
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out evenly to all cores by its key: a card is few bytes and much work, so a file that is one task to read is many to work on."""
+    return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def to_document(card: Column, size: Column) -> Column:
     """ok, error_type, error and text: the document of a card."""
     return _once(lambda c, s: _outcome(document.to_document, c, s), _OUTCOME)(card, size)
@@ -47,14 +57,20 @@ def verify(text: Column, size: Column) -> Column:
     return _once(lambda c, s: _outcome(lambda d, z: document.compact(reverse.verify(d, z)[2]), c, s), _OUTCOME)(text, size)
 
 
+@lru_cache(maxsize=256)
+def _spec(text: str):
+    """A task or specification; many cards have one, and nobody changes it."""
+    return json.loads(text)
+
+
 def check_context(card: Column, task: Column, card_spec: Column) -> Column:
     """Context warnings as a JSON list in ``text``; task and specification are JSON texts."""
-    one = lambda c, x, y: json.dumps(context.check_context(c, json.loads(x), json.loads(y)))
+    one = lambda c, x, y: json.dumps(context.check_context(c, _spec(x), _spec(y)))
     return _once(lambda *a: _outcome(one, *a), _OUTCOME)(card, task, card_spec)
 
 
 def mend(card: Column, task: Column, card_spec: Column) -> Column:
-    one = lambda c, x, y: context.mend(c, json.loads(x), json.loads(y))
+    one = lambda c, x, y: context.mend(c, _spec(x), _spec(y))
     return _once(lambda *a: _outcome(one, *a), _OUTCOME)(card, task, card_spec)
 
 

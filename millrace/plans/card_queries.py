@@ -37,8 +37,12 @@ def _card(k: Column, name: Column, size: Column) -> Column:
     return F.when(fault == 6, F.concat(F.lit("```genui\n"), body, F.lit("\n```"))).when(fault == 7, F.concat(F.lit("Here it is:\n"), body)).otherwise(body)
 
 
+def _parts(t: Tables) -> DataFrame:
+    return C.dealt(t.part.select("p_partkey", "p_size", "p_name"), "p_partkey")
+
+
 def _cards(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", "p_size", "p_name", _card(F.col("p_partkey"), F.col("p_name"), F.col("p_size")).alias("card"))
+    return _parts(t).select("p_partkey", "p_size", "p_name", _card(F.col("p_partkey"), F.col("p_name"), F.col("p_size")).alias("card"))
 
 
 _KIND = "CASE p_partkey % 10 WHEN 1 THEN 'order' WHEN 2 THEN 'property' WHEN 3 THEN 'value' WHEN 4 THEN 'source' WHEN 5 THEN 'unbound' END"
@@ -115,7 +119,7 @@ def binding_rows(t: Tables) -> DataFrame:
 @query("SELECT CAST(p_partkey AS VARCHAR) AS \"case\", 'b' AS id FROM part WHERE p_partkey % 10 NOT IN (1, 2, 3, 4) AND p_partkey % 3 = 0", python=True)
 def undeclared_bindings(t: Tables) -> DataFrame:
     size = F.when(F.col("p_partkey") % 3 == 0, '').otherwise(',"size":{"type":"integer"}')
-    tasks = t.part.select(F.col("p_partkey").cast("string").alias("case"), F.concat(F.lit('{"data":{"part":{"name":{"type":"string"}'), size, F.lit("}}}")).alias("schema"))
+    tasks = _parts(t).select(F.col("p_partkey").cast("string").alias("case"), F.concat(F.lit('{"data":{"part":{"name":{"type":"string"}'), size, F.lit("}}}")).alias("schema"))
     return C.undeclared_bindings(_card_rows(t), C.schema_paths(tasks, "case", "schema")).select("case", "id")
 
 

@@ -179,3 +179,32 @@ def test_every_pair_of_parts_round_trips():
     for a, b in itertools.permutations(parts, 2):
         made = document.to_document(card(*a.split("\n"), *b.split("\n")), "2x2")
         assert reverse.verify(made, "2x2")[2]["roundtrip"] == "pass"
+
+
+def test_cards_of_one_file_are_worked_on_by_many_tasks(spark, tmp_path):
+    from millrace.plans import card_queries
+    from millrace.plans.registry import Tables
+
+    rows = [(k, k % 50, f"name {k}") for k in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_name string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = card_queries._cards(Tables(spark, str(tmp_path)))
+    sizes = [n for n in made.rdd.mapPartitions(lambda rs: [sum(1 for _ in rs)]).collect() if n]
+    assert len(sizes) >= 8 and max(sizes) < 100
+
+
+def test_rows_are_read_alike_alone_and_again():
+    text = '[ "root", "Column", {"width":160,"height":160}, ["t"]]\n["t","Text",{"content":"[x]",}]}'
+    assert rows.json_rows(text) == ([["root", "Column", {"width": 160, "height": 160}, ["t"]], ["t", "Text", {"content": "[x]"}]], True)
+    first, again = rows.read_card(text), rows.read_card(text)
+    assert first == again and first.components[0] is again.components[0]
+    document.expand(first.components[0]).props["width"] = 1
+    assert rows.read_card(text) == first and first.components[0].props["width"] == 160
+    with pytest.raises(rows.CardError, match="row 2 "):
+        rows.read_card('["root","Column",{},["t"]]["t",1]')
+    with pytest.raises(rows.CardError, match="text between rows"):
+        rows.read_card('["root" "Column"] x ["t",1]')
+
+
+def test_a_nan_differs_from_itself():
+    nan = float("nan")
+    assert len(reverse.differences({"a": nan}, {"a": nan})) == 1 and reverse.differences({"a": 1}, {"a": True}) == []
