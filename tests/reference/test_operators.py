@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,20 @@ def test_bootstrap_draws_in_parts_and_pieces_like_one_generator(spark, monkeypat
     starts = list(compare._starts(150, [0, 5, 40], 3))
     assert [s[:3] for s in starts] == [(0, 0, 5), (1, 5, 40)]  # states only: no task holds the draws
     assert compare.bootstrap_exact(df.where("i < 0"), "i", "v", 40, 3).collect() == []
+
+
+def test_near_duplicates_move_only_the_first_shingles(spark):
+    rnd = random.Random(4)
+    common = " ".join("licence%d" % (i % 40) for i in range(60))  # a passage that all texts share
+    base = [" ".join("w%d" % rnd.randrange(9000) for _ in range(200)) for _ in range(30)]
+    texts = [(i, f"{common} {t}") for i, t in enumerate(base)] + [(100 + i, f"{common} {t} end{i}") for i, t in enumerate(base[:5])]
+    texts += [(200 + i, texts[0][1]) for i in range(20)] + [(0, texts[0][1])]  # copies, one of the same id
+    df = spark.createDataFrame(texts, "id int, t string")
+    assert sorted((r.a, r.b) for r in audit.near_duplicates(df, "id", "t").collect()) == [(i, 100 + i) for i in range(5)]
+    load = np.zeros(audit.CELLS, np.int64)
+    load[7 & (audit.CELLS - 1)] = 99  # 7 is common, so it is the last of its set
+    batch = pa.RecordBatch.from_arrays([pa.array([b"k"]), pa.array([list(range(20))], pa.list_(pa.int64()))], ["key", "s"])
+    (out,) = audit._heads(0.8, load)([batch])
+    assert out.to_pydict() == {"key": [b"k"] * 5, "n": [20] * 5, "p": [0, 1, 2, 3, 4], "h": [0, 1, 2, 3, 4]}
+    batch = pa.RecordBatch.from_arrays([pa.array([b"k"]), pa.array([[7, 8]], pa.list_(pa.int64()))], ["key", "s"])
+    assert next(audit._heads(0.8, load)([batch])).column("h").to_pylist() == [8]
