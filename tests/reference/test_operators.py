@@ -191,3 +191,14 @@ def test_near_duplicates_move_only_the_first_shingles(spark):
     assert out.to_pydict() == {"key": [b"k"] * 5, "n": [20] * 5, "p": [0, 1, 2, 3, 4], "h": [0, 1, 2, 3, 4]}
     batch = pa.RecordBatch.from_arrays([pa.array([b"k"]), pa.array([[7, 8]], pa.list_(pa.int64()))], ["key", "s"])
     assert next(audit._heads(0.8, load)([batch])).column("h").to_pylist() == [8]
+
+
+def test_tasks_hold_a_bounded_number_of_offers(spark, monkeypatch):
+    monkeypatch.setattr(audit, "TASK_ROWS", 500)
+    offered = spark.range(10_000).selectExpr("id div 4 as c", "'k' as kind", "if(id = 3, null, id) as item").coalesce(1)
+    items = audit._items(offered, offered.where("item % 2 = 0"), "c", "kind", "item")
+    sizes = items.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 20 and sum(sizes) == 10_000 and max(sizes) < 1000
+    assert [tuple(r) for r in audit.candidate_use(offered, offered.where("item % 2 = 0"), "c", "kind", "item").collect()] == [("k", 10_000, 5000, 0.5)]
+    nothing = spark.createDataFrame([(1, "k", None)], "c long, kind string, item long")
+    assert audit.use_classes(nothing, nothing, "c", "kind", "item").first()["class"] == "none"
