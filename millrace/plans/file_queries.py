@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_folder
@@ -17,16 +17,27 @@ def _text_file(lines: DataFrame, name: str) -> str:
     return path
 
 
+#: Rows that one task sorts and writes as a part.
+PART_ROWS = 500_000
+
+
+def _in_order(df: DataFrame, key: str, value: Column) -> DataFrame:
+    """The lines by the key, in as many parts as their number asks for, none sorted in one task as a whole."""
+    parts = -(-df.count() // PART_ROWS) or 1
+    return df.select(key, value.alias("value")).repartitionByRange(parts, key).sortWithinPartitions(key).select("value")
+
+
 @query("""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, 'o' || o_orderkey AS id, '{"z":' || o_custkey || ',"a":"}{' || o_orderstatus || '\\\"]"}' AS body FROM orders""", python=True)
 def source_task_records(t: Tables) -> DataFrame:
-    """An array over many lines, with braces, quotes and brackets inside its strings."""
-    record = F.format_string('{"id":"o%s",\n "taskSpec":{"z": %s, "a": "}{%s\\\"]"}}', "o_orderkey", "o_custkey", "o_orderstatus")
-    most = t.orders.agg(F.max("o_orderkey")).first()[0]
+    """An array over many lines, with braces, quotes and brackets inside its strings, in parts that are each cut after a record."""
+    record = F.format_string('{"id":"o%s",\n "taskSpec":{"z": %s, "a": "}{%s\\\"]"}', "o_orderkey", "o_custkey", "o_orderstatus")
     first = t.orders.agg(F.min("o_orderkey")).first()[0]
-    line = F.concat(F.when(F.col("o_orderkey") == first, F.lit("[")).otherwise(F.lit(",")), record, F.when(F.col("o_orderkey") == most, F.lit("\n]")).otherwise(F.lit("")))
-    path = f"{work_folder(t.spark)}/tasks.json"
-    t.orders.select("o_orderkey", line.alias("value")).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
-    return readers.read_task_records(t.spark, path)
+    lead = F.when(F.col("o_orderkey") == first, F.lit("[")).otherwise(F.lit("\n,"))
+    top = work_folder(t.spark)
+    parts = [f"{top}/0-records", f"{top}/1-end"]  # read in this order
+    _in_order(t.orders, "o_orderkey", F.concat(lead, record)).write.option("lineSep", "}").text(parts[0])  # the last brace of each record ends its line
+    t.spark.createDataFrame([("\n]",)], "value string").coalesce(1).write.text(parts[1])
+    return readers.read_task_records(t.spark, parts, whole=True)
 
 
 @query("SELECT 'p' || p_partkey AS id, p_name AS label FROM part", python=True)
@@ -38,10 +49,10 @@ def source_labels(t: Tables) -> DataFrame:
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY o_orderkey) * 2 - 1 AS BIGINT) AS line_number, 'order ' || o_orderkey AS value FROM orders""")
 def source_numbered_lines(t: Tables) -> DataFrame:
-    """A blank line after every other one, a file of many byte ranges."""
+    """A blank line after every other one, a text in parts of many byte ranges."""
     path = f"{work_folder(t.spark)}/orders.txt"
-    t.orders.select("o_orderkey", F.concat(F.lit("order "), "o_orderkey", F.lit("\n")).alias("value")).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
-    return readers.numbered_lines(t.spark, path).where("value <> ''")
+    _in_order(t.orders, "o_orderkey", F.concat(F.lit("order "), "o_orderkey", F.lit("\n"))).write.text(path)
+    return readers.numbered_lines(t.spark, path, whole=True).where("value <> ''")
 
 
 @query("SELECT 'Be brief about ' || r_name || '.' AS prompt FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)", python=True)

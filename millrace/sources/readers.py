@@ -33,10 +33,11 @@ def record_of(pos: int, text: str, last: bool, field: str) -> tuple[str | None,
         return id_, None, "a number is not finite"
 
 
-def read_task_records(spark: SparkSession, path: str, field: str = "taskSpec") -> DataFrame:
+def read_task_records(spark: SparkSession, path: str | list[str], field: str = "taskSpec", whole: bool = False) -> DataFrame:
     """``pos, id, body``: the records of a JSON array file, bodies in canonical text with their key order; the first bad one raises.
 
     The file is read by many tasks (``records.array_elements``); an array that does not close raises too.
+    With ``whole`` the files are the parts of one array.
     """
 
     def run(batches):
@@ -45,7 +46,7 @@ def read_task_records(spark: SparkSession, path: str, field: str = "taskSpec") -
             columns = list(zip(*told)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.string()) for c in columns)], ["pos", "last", "id", "body", "problem"])
 
-    elements = array_elements(spark, path).select("pos", "text", "last")
+    elements = array_elements(spark, path, whole).select("pos", "text", "last")
     rows = written_once(elements.mapInArrow(run, "pos long, last boolean, id string, body string, problem string"))
     if not rows.where("last").limit(1).count():
         raise DataError("bad record: the array does not end")
@@ -136,9 +137,9 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     return first_by_order(df, [order], n)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_number, value`` of a file, blank lines too."""
-    return numbered_text(spark, path).drop("path")
+def numbered_lines(spark: SparkSession, path: str | list[str], whole: bool = False) -> DataFrame:
+    """``line_number, value`` of a file, blank lines too; with ``whole`` of a text in parts."""
+    return numbered_text(spark, path, whole).drop("path")
 
 
 def starts_with_bom(spark: SparkSession, path: str) -> DataFrame:

@@ -31,8 +31,11 @@ def written_once(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def _ranged(lines: DataFrame) -> DataFrame:
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+def _ranged(lines: DataFrame, whole: bool = False) -> DataFrame:
+    """``path, block, value, at``; with ``whole`` all files are one, of no path, whose ranges go by file and start."""
+    file, start = F.col("_metadata.file_path"), F.format_string("%020d", F.col("_metadata.file_block_start"))
+    path, block = (F.lit(""), F.concat_ws(":", file, start)) if whole else (file, start)
+    return lines.select(path.alias("path"), block.alias("block"), "value", F.monotonically_increasing_id().alias("at"))
 
 
 def _running(blocks: DataFrame, n: str) -> DataFrame:
@@ -41,14 +44,15 @@ def _running(blocks: DataFrame, n: str) -> DataFrame:
     return blocks.select(*_RANGE, "first", F.coalesce(F.sum(n).over(before), F.lit(0)).alias("ahead"))
 
 
-def numbered_text(spark: SparkSession, path: str) -> DataFrame:
+def numbered_text(spark: SparkSession, path: str | list[str], whole: bool = False) -> DataFrame:
     """``path, line_number, value`` of text files: every line, blank ones too, from 1 in each file.
 
     A byte-order mark at the start of a file is no part of its first line. No
     lines give no rows. Lines are not shuffled; the ranges' counts, one row a
-    range, are joined to them.
+    range, are joined to them. With ``whole`` the files, in the order of their
+    names, are the parts of one text, cut at line ends.
     """
-    lines = written_once(_ranged(spark.read.text(path)))
+    lines = written_once(_ranged(spark.read.text(path), whole))
     blocks = lines.groupBy(*_RANGE).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     placed = lines.join(F.broadcast(_running(blocks, "n")), _RANGE)
     return placed.select("path", (F.col("ahead") + F.col("at") - F.col("first") + 1).alias("line_number"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
@@ -101,18 +105,20 @@ def _compose(ranges: pa.Table) -> pa.Table:
     return pa.table({"path": ranges["path"], "block": ranges["block"], "depth": [d for d, _ in starts], "inside": [i for _, i in starts]})
 
 
-def array_elements(spark: SparkSession, path: str) -> DataFrame:
+def array_elements(spark: SparkSession, path: str | list[str], whole: bool = False) -> DataFrame:
     """``path, pos, text, last`` of the objects in JSON array files, by place from 0; texts hold the comma or bracket before them.
 
     ``last`` marks what follows the last object of a file, which should be its
     closing bracket. Whether a text is sound JSON is not looked at, see
     ``element_of``. Nothing is larger in a task than a byte range or an object.
+    With ``whole`` the files, in the order of their names, are the parts of one
+    array, each but the last cut right after a ``}``.
     """
-    read = _ranged(spark.read.option("lineSep", "}").text(path))
-    pieces = written_once(read.mapInArrow(_both_cases, "path string, block long, value string, at long, depth0 long, open0 boolean, depth1 long, open1 boolean"))
+    read = _ranged(spark.read.option("lineSep", "}").text(path), whole)
+    pieces = written_once(read.mapInArrow(_both_cases, "path string, block string, value string, at long, depth0 long, open0 boolean, depth1 long, open1 boolean"))
     end = F.max_by(F.struct("depth0", "open0", "depth1", "open1"), "at").alias("end")
     ranges = pieces.groupBy(*_RANGE).agg(end).select(*_RANGE, "end.*")
-    starts = ranges.groupBy("path").applyInArrow(_compose, "path string, block long, depth long, inside boolean")
+    starts = ranges.groupBy("path").applyInArrow(_compose, "path string, block string, depth long, inside boolean")
     told = pieces.join(F.broadcast(starts), _RANGE)  # one row a range
     depth = F.col("depth") + F.when(F.col("inside"), F.col("depth1")).otherwise(F.col("depth0"))
     text_goes_on = F.when(F.col("inside"), F.col("open1")).otherwise(F.col("open0"))

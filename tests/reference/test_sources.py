@@ -122,3 +122,18 @@ def test_test_set(spark):
     assert [r.id for r in got] == ["taskspec-001", "taskspec-002"] and [m.role for m in got[0].messages] == ["system", "user"]
     with pytest.raises(DataError):
         datasets.build_test_set(spark, df.withColumn("record", F.lit("{}")), None)
+
+
+def test_ordered_texts_are_written_and_read_in_parts(spark, tmp_path, monkeypatch):
+    from millrace.plans import file_queries
+
+    monkeypatch.setattr(file_queries, "PART_ROWS", 30)
+    spark.createDataFrame([(i * 3 % 101, i, "OPF"[i % 3]) for i in range(101)], "o_orderkey long, o_custkey long, o_orderstatus string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    t = file_queries.Tables(spark, str(tmp_path))
+    lines = file_queries._in_order(t.orders, "o_orderkey", F.col("o_orderkey").cast("string"))
+    assert max(lines.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 60
+    got = file_queries.source_numbered_lines(t).orderBy("line_number").collect()
+    assert [tuple(r) for r in got] == [(2 * i + 1, f"order {i}") for i in range(101)]
+    by_key = {i * 3 % 101: (i, "OPF"[i % 3]) for i in range(101)}
+    got = file_queries.source_task_records(t).orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(k, f"o{k}", '{"z":%d,"a":"}{%s\\"]"}' % by_key[k]) for k in range(101)]
