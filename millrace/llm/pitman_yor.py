@@ -35,8 +35,8 @@ from .common import SPACE_CLASS, text_of
 ROOT, BELOW = (0.5, 1.0), (0.75, 1.0)
 #: Rounds between restaurants and root; sweeps that are left out, and that are averaged, in each.
 ROUNDS, BURN_IN, AVERAGED = 2, 1, 2
-#: Customers of a dish that a sweep seats anew, chosen at random: all of most dishes.
-MOVES = 24
+#: So few dishes move one by one, not side by side; random numbers drawn at once for one.
+FEW, DRAWS = 48, 1 << 14
 SEED = 13
 #: Text that one shard counts, and that one block of documents holds.
 SHARD_BYTES, BLOCK_CHARS = 18 << 20, 8_000_000
@@ -106,14 +106,16 @@ def climbed(differences: np.ndarray) -> np.ndarray:
 # --- seating --------------------------------------------------------------------------------------------------
 
 
-def seat(counts, rooms, base, n_rooms, discount, strength, rng, burn_in=BURN_IN, averaged=AVERAGED, elsewhere=None, moves=MOVES, times=1.0):
+def seat(counts, rooms, base, n_rooms, discount, strength, rng, burn_in=BURN_IN, averaged=AVERAGED, elsewhere=None, moves=None, times=1.0):
     """Mean tables of each dish and each room after Gibbs sweeps over ``counts`` customers of a dish in its room.
 
-    A sweep takes a customer of each dish from its table at random and seats it
-    again: at a table of the dish by the table's others less the discount, at a
-    new one by the room's pull times the dish's ``base``. Dishes move side by
-    side, so a room's tables are those before the step. ``elsewhere`` is what a
-    room has in other shards, or ``times`` how often this one stands for all.
+    A sweep takes every customer of each dish from its table, one after the
+    other, and seats it again: at a table of the dish by the table's others less
+    the discount, at a new one by the room's pull times the dish's ``base``.
+    Dishes move side by side, so a room's tables are those before the step.
+    ``elsewhere`` is what a room has in other shards, or ``times`` how often
+    this one stands for all. ``moves`` ends a sweep after so many customers of
+    a dish; the model does not use it.
     """
     counts = np.asarray(counts, np.int64)
     order = np.argsort(-counts, kind="stable")
@@ -121,18 +123,17 @@ def seat(counts, rooms, base, n_rooms, discount, strength, rng, burn_in=BURN_IN,
     far = np.zeros(n_rooms) if elsewhere is None else np.asarray(elsewhere, float)
     t = (c > 0).astype(np.int64)
     several = int(np.searchsorted(-c, -1))  # dishes with two customers or more
-    here = np.bincount(room, t, n_rooms)
+    here = np.bincount(room, t, n_rooms).astype(float)
     if several:
         pull = (strength + discount * (here * times + far))[room[:several]] * base[:several]
         grown = pull * np.log((pull + c[:several] - discount) / (pull + 1 - discount))
         t[:several] = np.clip(1 + grown.astype(np.int64), 1, c[:several])
         here = np.bincount(room, t, n_rooms).astype(float)
+        seats = _Seats(c[:several], t[:several])
     sum_t, sum_here = np.zeros(len(c)), np.zeros(n_rooms)
-    sizes = None
     for sweep in range(burn_in + averaged):
         if several:
-            sizes, starts = _tables(c[:several], t[:several], sizes, None if sizes is None else starts, moves)
-            _sweep(c[:several], room[:several], base[:several], t, sizes, starts, here, far, times, discount, strength, rng, moves)
+            _sweep(c[:several], room[:several], base[:several], t, seats, here, far, times, discount, strength, rng, moves)
         if sweep >= burn_in:
             sum_t += t
             sum_here += here
@@ -141,61 +142,94 @@ def seat(counts, rooms, base, n_rooms, discount, strength, rng, burn_in=BURN_IN,
     return out, sum_here / averaged
 
 
-def _tables(c, t, sizes, starts, moves):
-    """Table sizes of all dishes side by side, with room for the tables a sweep may open."""
-    room_for = np.minimum(c, t + moves)
-    ends = np.cumsum(room_for)
-    new_starts = ends - room_for
-    fresh = np.zeros(int(ends[-1]), np.int64)
-    dish = np.repeat(np.arange(len(c)), t)
-    place = np.arange(len(dish)) - np.repeat(np.cumsum(t) - t, t)
-    at = np.repeat(new_starts, t) + place
-    if sizes is None:  # the k-th table holds about 1/k of the first
-        share = 1.0 / (place + 1)
-        spare = (c - t)[dish] * share / np.bincount(dish, share, len(c))[dish]
-        fresh[at] = 1 + spare.astype(np.int64)
-        fresh[new_starts] += c - np.add.reduceat(fresh, new_starts)
-    else:
-        fresh[at] = sizes[sizes > 0]
-    return fresh, new_starts
-
+class _Seats:
+    """The table of every customer. A dish of c customers, from place ``start`` on, has c places for tables."""
 
-def _sweep(c, room, base, t, sizes, starts, here, far, times, discount, strength, rng, moves):
-    ends = np.append(starts[1:], len(sizes))
-    for j in range(min(moves, int(c[0]))):
+    def __init__(self, c, t):
+        ends = np.cumsum(c)
+        total = int(ends[-1])
+        kind = np.int32 if total < 1 << 31 else np.int64
+        self.start = ends - c
+        # the k-th table holds about 1/k of the first
+        dish = np.repeat(np.arange(len(c)), t)
+        place = np.arange(len(dish)) - np.repeat(np.cumsum(t) - t, t)
+        share = 1.0 / (place + 1)
+        sizes = 1 + ((c - t)[dish] * share / np.bincount(dish, share, len(c))[dish]).astype(np.int64)
+        first = np.cumsum(t) - t
+        sizes[first] += c - np.add.reduceat(sizes, first)
+        at = self.start[dish] + place
+        self.sizes = np.zeros(total, kind)
+        self.sizes[at] = sizes
+        self.table = np.repeat(at.astype(kind), sizes)
+        # of each dish a stack of free places, its top at c - t
+        self.free = (np.repeat(2 * self.start + c - 1, c) - np.arange(total)).astype(kind)
+
+
+def _sweep(c, room, base, t, seats, here, far, times, discount, strength, rng, moves=None):
+    steps = int(c[0]) if moves is None else min(moves, int(c[0]))
+    for j in range(steps):
         n = int(np.searchsorted(-c, -j))  # dishes with more than j customers stand first
         if not n:
+            return
+        if n < FEW:
             break
-        start, slots = starts[:n], sizes[: ends[n - 1]]
-        upto = np.cumsum(slots)
-        before = upto[start] - slots[start]
-        left = np.searchsorted(upto, before + (rng.random(n) * c[:n]).astype(np.int64), side="right")
-        slots[left] -= 1
-        gone = slots[left] == 0
-        t[:n] -= gone
-        here -= np.bincount(room[:n][gone], minlength=len(here))
-        pull = (strength + discount * (here * times + far))[room[:n]] * base[:n]
+        start = seats.start[:n]
+        left = seats.table[start + j]
+        size = seats.sizes[left] - 1
+        seats.sizes[left] = size
+        gone = np.flatnonzero(size == 0)
+        seats.free[start[gone] + c[gone] - t[gone]] = left[gone]
+        t[gone] -= 1
+        np.subtract.at(here, room[gone], 1.0)
+        pull = (strength + discount * (here[room[:n]] * times + far[room[:n]])) * base[:n]
         stay = c[:n] - 1 - discount * t[:n]
         opens = rng.random(n) * (pull + stay) < pull
-        chosen = left.copy()
-        need = np.flatnonzero(opens & ~gone)
-        if need.size:  # the first free place of the dish
-            free = np.cumsum(slots == 0)
-            chosen[need] = np.searchsorted(free, free[start[need]] - (slots[start[need]] == 0) + 1)
-        joins = np.flatnonzero(~opens)
-        if joins.size:
-            weight = np.cumsum(np.where(slots > 0, slots - discount, 0.0))
-            low = weight[start[joins]] - np.where(slots[start[joins]] > 0, slots[start[joins]] - discount, 0.0)
-            todo = joins
-            while todo.size:
-                pick = np.searchsorted(weight, low + rng.random(todo.size) * (weight[ends[todo] - 1] - low), side="right")
-                pick = np.clip(pick, start[todo], ends[todo] - 1)
-                good = slots[pick] > 0
-                chosen[todo[good]] = pick[good]
-                todo, low = todo[~good], low[~good]
-        slots[chosen] += 1
-        t[:n] += opens
-        here += np.bincount(room[:n][opens], minlength=len(here))
+        chosen = left
+        new = np.flatnonzero(opens)
+        chosen[new] = seats.free[start[new] + c[new] - t[new] - 1]
+        todo = np.flatnonzero(~opens)
+        while todo.size:  # the table of another customer, by its size; taken by its size less the discount
+            other = (rng.random(todo.size) * (c[todo] - 1)).astype(np.int64)
+            pick = seats.table[start[todo] + other + (other >= j)]
+            good = rng.random(todo.size) * seats.sizes[pick] < seats.sizes[pick] - discount
+            chosen[todo[good]] = pick[good]
+            todo = todo[~good]
+        seats.sizes[chosen] += 1
+        seats.table[start + j] = chosen
+        t[new] += 1
+        np.add.at(here, room[new], 1.0)
+    else:
+        return
+    # the few dishes with most customers go on one by one
+    for i in range(n):
+        lo, many, r = int(seats.start[i]), int(c[i]), int(room[i])
+        table, sizes, free = (memoryview(a[lo : lo + many]) for a in (seats.table, seats.sizes, seats.free))
+        chance, away, tables, own = float(base[i]), float(far[r]), int(t[i]), float(here[r])
+        for begin in range(j, many if moves is None else min(many, moves), DRAWS):
+            stop = min(begin + DRAWS, many if moves is None else min(many, moves))
+            for k, x, y in zip(range(begin, stop), rng.random(stop - begin).tolist(), rng.random(stop - begin).tolist()):
+                left = table[k] - lo
+                sizes[left] -= 1
+                if not sizes[left]:
+                    free[many - tables] = left + lo
+                    tables -= 1
+                    own -= 1
+                pull = (strength + discount * (own * times + away)) * chance
+                if x * (pull + many - 1 - discount * tables) < pull:
+                    to = free[many - tables - 1] - lo
+                    tables += 1
+                    own += 1
+                else:
+                    while True:  # the whole part of y chooses another customer, its fraction whether its table is taken
+                        y *= many - 1
+                        other = int(y)
+                        to = table[other + (other >= k)] - lo
+                        if (y - other) * sizes[to] < sizes[to] - discount:
+                            break
+                        y = rng.random()
+                sizes[to] += 1
+                table[k] = to + lo
+        t[i], here[r] = tables, own
 
 
 # --- blocks of documents --------------------------------------------------------------------------------------

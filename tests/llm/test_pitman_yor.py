@@ -212,3 +212,23 @@ def test_layout_deals_out_frequent_words(make_docs):
     layout = py.plan_layout(docs, shard_bytes=2000)
     assert layout.k > 5 and layout.large[py.word_key("the") >> 16][1] > 1
     assert py.plan_layout(docs).k == 1
+
+
+@pytest.mark.parametrize("few", [1, 10**9])
+def test_a_sweep_seats_every_customer_anew(few, monkeypatch):
+    """Far from the start of few tables: one dish a room that all new customers ask for; side by side and one by one."""
+    monkeypatch.setattr(py, "FEW", few)
+    c, rooms, d, strength = 300, 60, 0.75, 1.0
+    want = strength / d * (math.prod((strength + d + i) / (strength + i) for i in range(c)) - 1)
+    drawn = []
+
+    class Counted:
+        rng = np.random.default_rng(4)
+
+        def random(self, n=None):
+            drawn.append(1 if n is None else n)
+            return self.rng.random(n)
+
+    tables, per_room = py.seat([c] * rooms, np.arange(rooms), [1.0] * rooms, rooms, d, strength, Counted(), 30, 30)
+    assert sum(drawn) >= 60 * c * rooms
+    assert abs(tables.mean() / want - 1) < 0.12  and np.allclose(tables, per_room)
