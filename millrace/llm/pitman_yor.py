@@ -20,6 +20,7 @@ the round before. Words are told by hashes.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,9 @@ from .common import SPACE_CLASS, text_of
 ROOT, BELOW = (0.5, 1.0), (0.75, 1.0)
 #: Rounds between restaurants and root; sweeps that are left out, and that are averaged, in each.
 ROUNDS, BURN_IN, AVERAGED = 2, 1, 2
-#: So few dishes move one by one, not side by side; random numbers drawn at once for one.
+#: Dishes of so many customers at most get all their tables in one draw; weights of tables held at once for it.
+TOGETHER, WEIGHTS = 256, 1 << 17
+#: So few of the other dishes move one by one, not side by side; random numbers drawn at once for one.
 FEW, DRAWS = 48, 1 << 14
 SEED = 13
 #: Text that one shard counts, and that one block of documents holds.
@@ -109,13 +112,15 @@ def climbed(differences: np.ndarray) -> np.ndarray:
 def seat(counts, rooms, base, n_rooms, discount, strength, rng, burn_in=BURN_IN, averaged=AVERAGED, elsewhere=None, moves=None, times=1.0):
     """Mean tables of each dish and each room after Gibbs sweeps over ``counts`` customers of a dish in its room.
 
-    A sweep takes every customer of each dish from its table, one after the
-    other, and seats it again: at a table of the dish by the table's others less
-    the discount, at a new one by the room's pull times the dish's ``base``.
-    Dishes move side by side, so a room's tables are those before the step.
-    ``elsewhere`` is what a room has in other shards, or ``times`` how often
-    this one stands for all. ``moves`` ends a sweep after so many customers of
-    a dish; the model does not use it.
+    A sweep seats every customer of each dish anew. A dish of at most TOGETHER
+    customers draws its number of tables from the exact chances of all numbers,
+    see ``_redraw``. Of larger ones it takes every customer from its table, one
+    after the other, and seats it again: at a table of the dish by the table's
+    others less the discount, at a new one by the room's pull times the dish's
+    ``base``. These move side by side, so a room's tables are those before the
+    step. ``elsewhere`` is what a room has in other shards, or ``times`` how
+    often this one stands for all. ``moves`` has all dishes move by customers,
+    and ends a sweep after so many of a dish; the model does not use it.
     """
     counts = np.asarray(counts, np.int64)
     order = np.argsort(-counts, kind="stable")
@@ -123,17 +128,24 @@ def seat(counts, rooms, base, n_rooms, discount, strength, rng, burn_in=BURN_IN,
     far = np.zeros(n_rooms) if elsewhere is None else np.asarray(elsewhere, float)
     t = (c > 0).astype(np.int64)
     several = int(np.searchsorted(-c, -1))  # dishes with two customers or more
+    large = int(np.searchsorted(-c, -TOGETHER)) if moves is None else several
+    single = np.bincount(room[several:], t[several:], n_rooms)
     here = np.bincount(room, t, n_rooms).astype(float)
     if several:
         pull = (strength + discount * (here * times + far))[room[:several]] * base[:several]
         grown = pull * np.log((pull + c[:several] - discount) / (pull + 1 - discount))
         t[:several] = np.clip(1 + grown.astype(np.int64), 1, c[:several])
-        here = np.bincount(room, t, n_rooms).astype(float)
-        seats = _Seats(c[:several], t[:several])
+        here = single + np.bincount(room[:several], t[:several], n_rooms)
+    if large:
+        seats = _Seats(c[:large], t[:large])
     sum_t, sum_here = np.zeros(len(c)), np.zeros(n_rooms)
     for sweep in range(burn_in + averaged):
-        if several:
-            _sweep(c[:several], room[:several], base[:several], t, seats, here, far, times, discount, strength, rng, moves)
+        if several > large:
+            small = slice(large, several)
+            t[small] = _redraw(c[small], room[small], base[small], here * times + far, discount, strength, rng)
+            here = single + np.bincount(room[:several], t[:several], n_rooms)
+        if large:
+            _sweep(c[:large], room[:large], base[:large], t, seats, here, far, times, discount, strength, rng, moves)
         if sweep >= burn_in:
             sum_t += t
             sum_here += here
@@ -142,6 +154,45 @@ def seat(counts, rooms, base, n_rooms, discount, strength, rng, burn_in=BURN_IN,
     return out, sum_here / averaged
 
 
+@lru_cache(4)
+def log_ways(discount: float, most: int) -> np.ndarray:
+    """Logarithms of the ways to seat c customers (row) at t tables (column), each weighted by its sizes' factors."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(1, most + 1):
+        out[c, 1:] = out[c - 1, :-1]
+        t = np.arange(1, c)
+        out[c, t] = np.logaddexp(out[c, t], np.log(c - 1 - discount * t) + out[c - 1, t])
+    return out
+
+
+def _redraw(c, room, base, tables, discount, strength, rng):
+    """New tables of all dishes, ``c`` descending, in rooms of so many ``tables``.
+
+    A room of T tables has a factor proportional to the Gamma function of
+    strength / discount + T. With a gamma variable of that shape drawn for the
+    room, its dishes no longer depend on each other: t tables have the chance of
+    their ways times the t-th power of discount * variable * base.
+    """
+    used, of = np.unique(room, return_inverse=True)
+    each = discount * rng.standard_gamma(strength / discount + tables[used]) if discount else np.full(len(used), strength)
+    power = np.log(each[of] * base)
+    ways = log_ways(discount, TOGETHER)
+    out = np.empty(len(c), np.int64)
+    sizes, starts = np.unique(-c, return_index=True)
+    for size, lo, hi in zip((-sizes).tolist(), starts.tolist(), np.append(starts[1:], len(c)).tolist()):
+        t = np.arange(1, size + 1)[:, None]
+        for at in range(lo, hi, max(1, WEIGHTS // size)):
+            stop = min(hi, at + max(1, WEIGHTS // size))
+            weight = t * power[at:stop]
+            weight += ways[size, 1 : size + 1, None]
+            weight -= weight.max(axis=0)
+            np.exp(weight, out=weight)
+            np.cumsum(weight, axis=0, out=weight)
+            out[at:stop] = 1 + (weight[:-1] <= rng.random(stop - at) * weight[-1]).sum(axis=0)
+    return out
+
+
 class _Seats:
     """The table of every customer. A dish of c customers, from place ``start`` on, has c places for tables."""
 
@@ -167,12 +218,9 @@ class _Seats:
 
 def _sweep(c, room, base, t, seats, here, far, times, discount, strength, rng, moves=None):
     steps = int(c[0]) if moves is None else min(moves, int(c[0]))
-    for j in range(steps):
-        n = int(np.searchsorted(-c, -j))  # dishes with more than j customers stand first
-        if not n:
-            return
-        if n < FEW:
-            break
+    beside = min(steps, int(c[FEW - 1])) if FEW <= len(c) else 0
+    # dishes with more than j customers stand first
+    for j, n in enumerate(np.searchsorted(-c, -np.arange(beside)).tolist()):
         start = seats.start[:n]
         left = seats.table[start + j]
         size = seats.sizes[left] - 1
@@ -198,14 +246,12 @@ def _sweep(c, room, base, t, seats, here, far, times, discount, strength, rng, m
         seats.table[start + j] = chosen
         t[new] += 1
         np.add.at(here, room[new], 1.0)
-    else:
-        return
     # the few dishes with most customers go on one by one
-    for i in range(n):
+    for i in range(int(np.searchsorted(-c, -beside)) if beside < steps else 0):
         lo, many, r = int(seats.start[i]), int(c[i]), int(room[i])
         table, sizes, free = (memoryview(a[lo : lo + many]) for a in (seats.table, seats.sizes, seats.free))
         chance, away, tables, own = float(base[i]), float(far[r]), int(t[i]), float(here[r])
-        for begin in range(j, many if moves is None else min(many, moves), DRAWS):
+        for begin in range(beside, many if moves is None else min(many, moves), DRAWS):
             stop = min(begin + DRAWS, many if moves is None else min(many, moves))
             for k, x, y in zip(range(begin, stop), rng.random(stop - begin).tolist(), rng.random(stop - begin).tolist()):
                 left = table[k] - lo

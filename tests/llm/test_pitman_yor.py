@@ -1,5 +1,6 @@
 """The model against a plain sampler, exact seat counts, and the base against sums in plain Python."""
 
+import itertools
 import math
 import random
 import re
@@ -232,3 +233,75 @@ def test_a_sweep_seats_every_customer_anew(few, monkeypatch):
     tables, per_room = py.seat([c] * rooms, np.arange(rooms), [1.0] * rooms, rooms, d, strength, Counted(), 30, 30)
     assert sum(drawn) >= 60 * c * rooms
     assert abs(tables.mean() / want - 1) < 0.12  and np.allclose(tables, per_room)
+
+
+class Drawn:
+    """A generator that counts what it draws."""
+
+    def __init__(self, seed):
+        self.rng, self.n = np.random.default_rng(seed), 0
+
+    def random(self, n=None):
+        self.n += 1 if n is None else n
+        return self.rng.random(n)
+
+    def standard_gamma(self, shape):
+        self.n += len(shape)
+        return self.rng.standard_gamma(shape)
+
+
+def test_dishes_that_share_a_room_have_the_exact_chances():
+    d, strength, n = 0.6, 0.8, 4000
+    dishes = [(1, 0.1), (3, 0.5), (6, 0.3), (2, 0.1)]
+    weights, sums = 0.0, np.zeros(len(dishes))
+    for ts in itertools.product(*(range(1, c + 1) for c, _ in dishes)):
+        w = math.prod(stirling(c, t, d) * base**t for (c, base), t in zip(dishes, ts)) * math.prod(strength + d * i for i in range(sum(ts)))
+        weights, sums = weights + w, sums + w * np.array(ts)
+    counts, bases = (np.tile(x, n) for x in zip(*dishes))
+    rng = Drawn(2)
+    tables, rooms = py.seat(counts, np.repeat(np.arange(n), len(dishes)), bases, n, d, strength, rng, 12, 6)
+    assert abs(tables.reshape(n, -1).mean(axis=0) - sums / weights).max() < 0.03
+    assert np.allclose(tables.reshape(n, -1).sum(axis=1), rooms)
+    assert rng.n == 18 * (n + 3 * n)  # one for a room and one for a dish, whatever its customers
+
+
+@pytest.mark.parametrize("c", [256, 257])
+def test_all_tables_of_a_dish_in_one_draw(c):
+    """The same mean on both sides of the bound; up to it the draws do not grow with the customers."""
+    rooms, d, strength, sweeps = 200, 0.75, 1.0, 60
+    want = strength / d * (math.prod((strength + d + i) / (strength + i) for i in range(c)) - 1)
+    rng = Drawn(4)
+    tables, per_room = py.seat([c] * rooms, np.arange(rooms), [1.0] * rooms, rooms, d, strength, rng, sweeps // 2, sweeps // 2)
+    assert abs(tables.mean() / want - 1) < 0.1 and np.allclose(tables, per_room)
+    assert rng.n == 2 * rooms * sweeps if c == 256 else rng.n >= 2 * rooms * sweeps * c
+
+
+def test_ways_are_the_weighted_counts():
+    ways = py.log_ways(0.6, 9)
+    assert all(math.isclose(math.exp(ways[c, t]), stirling(c, t, 0.6), rel_tol=1e-12) for c in range(1, 10) for t in range(1, c + 1))
+    assert np.isneginf(ways[np.triu_indices(10, 1)]).all()
+    rng = np.random.default_rng(6)
+    # discount 0: a table more costs strength * base
+    tables, _ = py.seat([4] * 3000, np.arange(3000), [0.5] * 3000, 3000, 0.0, 1.0, rng, 2, 4)
+    chances = [stirling(4, t, 0.0) * 0.5**t for t in range(1, 5)]
+    assert abs(tables.mean() - sum(t * w for t, w in enumerate(chances, 1)) / sum(chances)) < 0.05
+
+
+def test_a_room_of_many_dishes_has_the_exact_mean():
+    """Dishes whose bases sum to one: the room's tables hang on each other most."""
+    d, rng, n = 0.75, np.random.default_rng(6), 60
+    counts, ways, want = rng.integers(2, 40, (n, 20)), py.log_ways(0.75, 64), 0.0
+    for room in counts:
+        chances = np.zeros(1)  # logarithms, from one table each on
+        for c in room:
+            more = ways[c, 1 : c + 1] + np.arange(1, c + 1) * math.log(0.05)
+            sums = np.full(len(chances) + c - 1, -np.inf)
+            for i, x in enumerate(more):
+                sums[i : i + len(chances)] = np.logaddexp(sums[i : i + len(chances)], chances + x)
+            chances = sums
+        tables = np.arange(len(chances)) + 20
+        chances += np.cumsum(np.log(1 + d * np.arange(tables[-1])))[tables - 1]
+        chances = np.exp(chances - chances.max())
+        want += (chances * tables).sum() / chances.sum()
+    tables, _ = py.seat(counts.ravel(), np.repeat(np.arange(n), 20), np.full(20 * n, 0.05), n, d, 1.0, rng, 60, 100)
+    assert abs(tables.sum() / want - 1) < 0.025
