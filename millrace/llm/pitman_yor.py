@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -68,10 +69,6 @@ def mix(keys: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(mix(left) + right * np.uint64(_MIX[2]))
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: unsigned ones in the least width that holds them, byte by byte of all their entries, compressed."""
     out = [struct.pack("<B", len(arrays))]
@@ -79,8 +76,8 @@ def pack(*arrays: np.ndarray) -> bytes:
         if a.dtype.kind in "ui":
             top = int(a.max()) if a.size else 0
             a = a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
-        raw = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if a.size else b""
-        body = pa.compress(raw, "zstd", asbytes=True) if raw else b""
+        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).data.cast("B") if a.size else b""
+        body = pa.compress(raw, "zstd", asbytes=True) if a.size else b""
         out.append(struct.pack("<2sQQ", a.dtype.str[1:].encode(), len(raw), len(body)) + body)
     return b"".join(out)
 
@@ -92,7 +89,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
         at += 18
         body = pa.decompress(data[at : at + size], raw, "zstd", asbytes=True) if raw else b""
         kind = np.dtype(kind.decode())
-        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind))
+        entries = np.empty((raw // kind.itemsize, kind.itemsize), np.uint8)
+        for i, column in enumerate(np.frombuffer(body, np.uint8).reshape(kind.itemsize, -1)):
+            entries[:, i] = column
+        out.append(entries.reshape(-1).view(kind))
         at += size
     return out
 
@@ -219,65 +219,101 @@ class _Seats:
 def _sweep(c, room, base, t, seats, here, far, times, discount, strength, rng, moves=None):
     steps = int(c[0]) if moves is None else min(moves, int(c[0]))
     beside = min(steps, int(c[FEW - 1])) if FEW <= len(c) else 0
+    start, others, stay = seats.start, c - 1.0, c - 1 - discount * t[: len(c)]
+    pull = _pull(room, base, here, far, times, discount, strength)
     # dishes with more than j customers stand first
     for j, n in enumerate(np.searchsorted(-c, -np.arange(beside)).tolist()):
-        start = seats.start[:n]
-        left = seats.table[start + j]
+        mine = start[:n] + j
+        left = seats.table[mine]
         size = seats.sizes[left] - 1
         seats.sizes[left] = size
-        gone = np.flatnonzero(size == 0)
-        seats.free[start[gone] + c[gone] - t[gone]] = left[gone]
-        t[gone] -= 1
-        np.subtract.at(here, room[gone], 1.0)
-        pull = (strength + discount * (here[room[:n]] * times + far[room[:n]])) * base[:n]
-        stay = c[:n] - 1 - discount * t[:n]
-        opens = rng.random(n) * (pull + stay) < pull
-        chosen = left
-        new = np.flatnonzero(opens)
-        chosen[new] = seats.free[start[new] + c[new] - t[new] - 1]
-        todo = np.flatnonzero(~opens)
-        while todo.size:  # the table of another customer, by its size; taken by its size less the discount
-            other = (rng.random(todo.size) * (c[todo] - 1)).astype(np.int64)
+        gone = (size == 0).nonzero()[0]
+        if gone.size:
+            seats.free[start[gone] + c[gone] - t[gone]] = left[gone]
+            t[gone] -= 1
+            stay[gone] += discount
+            np.subtract.at(here, room[gone], 1.0)
+            pull = _pull(room[:n], base[:n], here, far, times, discount, strength)
+        pull = pull[:n]
+        new = (rng.random(n) * (pull + stay[:n]) < pull).nonzero()[0]
+        # the whole part of y chooses another customer, its fraction whether its table is taken: by its size less the discount
+        y = rng.random(n) * others[:n]
+        other = y.astype(np.int64)
+        chosen = seats.table[start[:n] + other + (other >= j)]
+        size = seats.sizes[chosen]
+        todo = ((y - other) * size >= size - discount).nonzero()[0]
+        while todo.size:
+            y = rng.random(todo.size) * others[todo]
+            other = y.astype(np.int64)
             pick = seats.table[start[todo] + other + (other >= j)]
-            good = rng.random(todo.size) * seats.sizes[pick] < seats.sizes[pick] - discount
-            chosen[todo[good]] = pick[good]
-            todo = todo[~good]
+            size = seats.sizes[pick]
+            chosen[todo] = pick
+            todo = todo[(y - other) * size >= size - discount]
+        if new.size:
+            chosen[new] = seats.free[start[new] + c[new] - t[new] - 1]
+            t[new] += 1
+            stay[new] -= discount
+            np.add.at(here, room[new], 1.0)
+            pull = _pull(room[:n], base[:n], here, far, times, discount, strength)
         seats.sizes[chosen] += 1
-        seats.table[start + j] = chosen
-        t[new] += 1
-        np.add.at(here, room[new], 1.0)
+        seats.table[mine] = chosen
     # the few dishes with most customers go on one by one
     for i in range(int(np.searchsorted(-c, -beside)) if beside < steps else 0):
-        lo, many, r = int(seats.start[i]), int(c[i]), int(room[i])
-        table, sizes, free = (memoryview(a[lo : lo + many]) for a in (seats.table, seats.sizes, seats.free))
+        lo, many, r = int(start[i]), int(c[i]), int(room[i])
+        places = slice(lo, lo + many)
+        seats.table[places] -= lo
+        seats.free[places] -= lo
+        table, sizes, free = (memoryview(a[places]) for a in (seats.table, seats.sizes, seats.free))
         chance, away, tables, own = float(base[i]), float(far[r]), int(t[i]), float(here[r])
+
+        def opens():
+            """The chance that the customer that left takes a new table."""
+            pull = (strength + discount * (own * times + away)) * chance
+            return pull / (pull + many - 1 - discount * tables)
+
+        share = opens()
         for begin in range(beside, many if moves is None else min(many, moves), DRAWS):
             stop = min(begin + DRAWS, many if moves is None else min(many, moves))
-            for k, x, y in zip(range(begin, stop), rng.random(stop - begin).tolist(), rng.random(stop - begin).tolist()):
-                left = table[k] - lo
-                sizes[left] -= 1
-                if not sizes[left]:
-                    free[many - tables] = left + lo
+            # another customer, and the size that its table must exceed to be taken: it is by its size less the discount
+            y = rng.random(stop - begin) * (many - 1)
+            other = y.astype(np.int64)
+            least = discount / (1 - (y - other))
+            other += other >= np.arange(begin, stop)
+            for k, x, at, bound in zip(range(begin, stop), rng.random(stop - begin).tolist(), other.tolist(), least.tolist()):
+                left = table[k]
+                size = sizes[left] = sizes[left] - 1
+                if not size:
+                    free[many - tables] = left
                     tables -= 1
                     own -= 1
-                pull = (strength + discount * (own * times + away)) * chance
-                if x * (pull + many - 1 - discount * tables) < pull:
-                    to = free[many - tables - 1] - lo
+                    share = opens()
+                if x < share:
+                    to = free[many - tables - 1]
+                    size = sizes[to]
                     tables += 1
                     own += 1
+                    share = opens()
                 else:
-                    while True:  # the whole part of y chooses another customer, its fraction whether its table is taken
-                        y *= many - 1
-                        other = int(y)
-                        to = table[other + (other >= k)] - lo
-                        if (y - other) * sizes[to] < sizes[to] - discount:
-                            break
-                        y = rng.random()
-                sizes[to] += 1
-                table[k] = to + lo
+                    to = table[at]
+                    size = sizes[to]
+                    while size <= bound:
+                        z = rng.random() * (many - 1)
+                        at = int(z)
+                        bound = discount / (1 - (z - at))
+                        to = table[at + (at >= k)]
+                        size = sizes[to]
+                sizes[to] = size + 1
+                table[k] = to
+        seats.table[places] += lo
+        seats.free[places] += lo
         t[i], here[r] = tables, own
 
 
+def _pull(room, base, here, far, times, discount, strength):
+    """What draws a customer of each dish to a new table."""
+    return (strength + discount * (here[room] * times + far[room])) * base
+
+
 # --- blocks of documents --------------------------------------------------------------------------------------
 
 
@@ -312,7 +348,7 @@ def block_rows(layout: Layout, block: int, texts: pa.Array, train: np.ndarray):
     """(key, payload) of a block: its pairs for each shard, its words for each piece of the root, and what it keeps."""
     n_docs = len(texts)
     doc, word, words = _token_rows(texts)
-    keys = np.fromiter(map(word_key, words.to_pylist()), np.uint64, len(words))
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_pylist(), repeat(1)), np.uint64, len(words))  # as word_key
     keys = np.append(keys, np.uint64(END))
     ascending = np.argsort(keys)
     rank = np.empty(len(keys), np.int64)
@@ -423,28 +459,30 @@ class _Shard:
     def __init__(self, layout: Layout, rows: pa.Table):
         rows = rows.sort_by("origin")
         self.layout, self.blocks = layout, rows["origin"].to_pylist()
-        contexts, words, learnt, self.cuts = [], [], [], [0]
+        contexts, degrees, words, places, learnt, self.cuts, known = [], [], [], [], [], [0], 0
         for payload in rows["payload"]:
             context, degree, used, ids, n = unpack(payload.as_py())
-            contexts.append(np.repeat(climbed(context), degree))
-            words.append(climbed(used)[ids])
+            contexts.append(climbed(context))
+            degrees.append(degree)
+            words.append(climbed(used))
+            places.append(ids.astype(np.int64) + known)
             learnt.append(n)
             self.cuts.append(self.cuts[-1] + len(ids))
-        contexts, words = np.concatenate(contexts), np.concatenate(words)
-        self.of_pair, pairs = pd.factorize(pair_keys(contexts, words))
+            known += len(used)
+        room, self.room_keys = pd.factorize(np.concatenate(contexts))
+        word, self.word_keys = pd.factorize(np.concatenate(words))
+        self.of_pair, pairs = pd.factorize(np.repeat(room, np.concatenate(degrees)) * len(self.word_keys) + word[np.concatenate(places)])
         self.of_pair = self.of_pair.astype(np.int32)
-        first = np.zeros(len(pairs), np.int64)
-        first[self.of_pair[::-1]] = np.arange(len(self.of_pair))[::-1]
         self.counts = np.bincount(self.of_pair, np.concatenate(learnt), len(pairs)).astype(np.int64)
-        self.room, self.room_keys = pd.factorize(contexts[first])
-        self.word, self.word_keys = pd.factorize(words[first])
+        self.room, self.word = np.divmod(pairs, len(self.word_keys))
         self.customers = np.bincount(self.room, self.counts, len(self.room_keys))
         self.piece = layout.of_short(self.word_keys)
 
     def large(self) -> list[tuple[int, int]]:
         """(room here, place among the large words) of restaurants that other shards have parts of."""
-        at = {int(k): i for i, k in enumerate(self.room_keys)} if self.layout.large else {}
-        return [(at[k], i) for k, (i, parts) in self.layout.large.items() if k in at and parts > 1]
+        apart = {k: i for k, (i, parts) in self.layout.large.items() if parts > 1}
+        here = np.flatnonzero(np.isin(self.room_keys, np.array(list(apart), np.uint64))).tolist()
+        return sorted(((room, apart[int(self.room_keys[room])]) for room in here), key=lambda at: at[1])
 
     def told(self, tables: np.ndarray, in_rooms: np.ndarray, key: int):
         """Messages to the root: each dish's tables over these restaurants; and the totals of large ones."""
