@@ -106,6 +106,21 @@ def climbed(differences: np.ndarray) -> np.ndarray:
     return np.cumsum(differences.astype(np.uint64), dtype=np.uint64)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each value, and the distinct values, ascending; values are not negative."""
+    bits = len(values).bit_length()
+    if int(values.max(initial=0)).bit_length() + bits > 63:  # values and places do not fit in one word
+        distinct, of = np.unique(values, return_inverse=True)
+        return of.astype(np.int32), distinct
+    packed = np.sort(values.astype(np.int64) << bits | np.arange(len(values)))
+    places = packed & (1 << bits) - 1
+    packed >>= bits
+    new = np.append(True, packed[1:] != packed[:-1])[: len(packed)]
+    of = np.empty(len(values), np.int32)
+    of[places] = np.cumsum(new, dtype=np.int32) - 1
+    return of, packed[new]
+
+
 # --- seating --------------------------------------------------------------------------------------------------
 
 
@@ -220,7 +235,7 @@ def _sweep(c, room, base, t, seats, here, far, times, discount, strength, rng, m
     steps = int(c[0]) if moves is None else min(moves, int(c[0]))
     beside = min(steps, int(c[FEW - 1])) if FEW <= len(c) else 0
     start, others, stay = seats.start, c - 1.0, c - 1 - discount * t[: len(c)]
-    pull = _pull(room, base, here, far, times, discount, strength)
+    pull, stale = None, True
     # dishes with more than j customers stand first
     for j, n in enumerate(np.searchsorted(-c, -np.arange(beside)).tolist()):
         mine = start[:n] + j
@@ -233,8 +248,7 @@ def _sweep(c, room, base, t, seats, here, far, times, discount, strength, rng, m
             t[gone] -= 1
             stay[gone] += discount
             np.subtract.at(here, room[gone], 1.0)
-            pull = _pull(room[:n], base[:n], here, far, times, discount, strength)
-        pull = pull[:n]
+        pull = _pull(room[:n], base[:n], here, far, times, discount, strength) if gone.size or stale else pull[:n]
         new = (rng.random(n) * (pull + stay[:n]) < pull).nonzero()[0]
         # the whole part of y chooses another customer, its fraction whether its table is taken: by its size less the discount
         y = rng.random(n) * others[:n]
@@ -254,7 +268,7 @@ def _sweep(c, room, base, t, seats, here, far, times, discount, strength, rng, m
             t[new] += 1
             stay[new] -= discount
             np.add.at(here, room[new], 1.0)
-            pull = _pull(room[:n], base[:n], here, far, times, discount, strength)
+        stale = new.size > 0
         seats.sizes[chosen] += 1
         seats.table[mine] = chosen
     # the few dishes with most customers go on one by one
@@ -348,7 +362,7 @@ def block_rows(layout: Layout, block: int, texts: pa.Array, train: np.ndarray):
     """(key, payload) of a block: its pairs for each shard, its words for each piece of the root, and what it keeps."""
     n_docs = len(texts)
     doc, word, words = _token_rows(texts)
-    keys = np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_pylist(), repeat(1)), np.uint64, len(words))  # as word_key
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False), repeat(1)), np.uint64, len(words))  # as word_key
     keys = np.append(keys, np.uint64(END))
     ascending = np.argsort(keys)
     rank = np.empty(len(keys), np.int64)
@@ -471,8 +485,7 @@ class _Shard:
             known += len(used)
         room, self.room_keys = pd.factorize(np.concatenate(contexts))
         word, self.word_keys = pd.factorize(np.concatenate(words))
-        self.of_pair, pairs = pd.factorize(np.repeat(room, np.concatenate(degrees)) * len(self.word_keys) + word[np.concatenate(places)])
-        self.of_pair = self.of_pair.astype(np.int32)
+        self.of_pair, pairs = numbered(np.repeat(room, np.concatenate(degrees)) * len(self.word_keys) + word[np.concatenate(places)])
         self.counts = np.bincount(self.of_pair, np.concatenate(learnt), len(pairs)).astype(np.int64)
         self.room, self.word = np.divmod(pairs, len(self.word_keys))
         self.customers = np.bincount(self.room, self.counts, len(self.room_keys))

@@ -305,3 +305,19 @@ def test_a_room_of_many_dishes_has_the_exact_mean():
         want += (chances * tables).sum() / chances.sum()
     tables, _ = py.seat(counts.ravel(), np.repeat(np.arange(n), 20), np.full(20 * n, 0.05), n, d, 1.0, rng, 60, 100)
     assert abs(tables.sum() / want - 1) < 0.025
+
+
+def test_numbers_of_small_and_of_large_values():
+    values = np.random.default_rng(5).integers(0, 50, 400)
+    for scale in (1, 1 << 50, (1 << 57) - 1):
+        of, distinct = py.numbered(values * scale)
+        assert of.dtype == np.int32 and (distinct[of] == values * scale).all() and (np.diff(distinct) > 0).all()
+    assert [len(a) for a in py.numbered(np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.arange(5), np.zeros(0, np.uint64), np.arange(70_000, dtype=np.uint64), np.linspace(-1, 1, 9).astype(np.float32), np.array([1 << 63], np.uint64)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, py.unpack(py.pack(*arrays))))
+    words = ["a", "é", "\U0001f600", "the"]
+    key, payload = next(r for r in py.block_rows(py.Layout(1), 0, pa.array([" ".join(words)]), np.ones(1, bool)) if r[0] == 1)
+    assert py.climbed(py.unpack(payload)[0]).tolist() == sorted([py.END] + [py.word_key(w) for w in words])
