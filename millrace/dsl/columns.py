@@ -149,4 +149,6 @@ def bindings(parsed: DataFrame) -> DataFrame:
 
 def undeclared_bindings(parsed: DataFrame, declared: DataFrame) -> DataFrame:
     """Bindings whose path no schema of the case declares."""
-    return bindings(parsed).join(declared.select("case", F.col("path").alias("schema_path")).distinct(), ["case", "schema_path"], "left_anti")
+    known = declared.select("case", F.col("path").alias("schema_path")).distinct()
+    # Sorted and merged: Spark takes ``known``, which grows with the cases, for a small share of the packed files and would broadcast it.
+    return bindings(parsed).join(known.hint("merge"), ["case", "schema_path"], "left_anti")

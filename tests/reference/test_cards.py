@@ -208,3 +208,18 @@ def test_rows_are_read_alike_alone_and_again():
 def test_a_nan_differs_from_itself():
     nan = float("nan")
     assert len(reverse.differences({"a": nan}, {"a": nan})) == 1 and reverse.differences({"a": 1}, {"a": True}) == []
+
+
+def test_declared_paths_are_never_broadcast(spark, tmp_path):
+    from millrace.dsl import columns as C
+
+    text = card('["t","Text",{"content":{"path":"/l/2/s"}}]', '["u","Text",{"content":{"path":"/n"}}]', '["/l/2/s","x"]', '["/n",1]')
+    schemas = [("1", '{"l":[{"s":{"type":"string"}}],"n":{"type":"integer"}}'), ("2", '{"l":[{"s":{"type":"string"}}]}'), ("2", '{"l":[]}'), ("3", None), ("5", '{"n":{"type":"integer"}}')]
+    spark.createDataFrame([(k, text) for k in "1234"] + [(None, text)], "case string, card string").write.parquet(str(tmp_path / "cards"))
+    spark.createDataFrame(schemas, "case string, schema string").write.parquet(str(tmp_path / "tasks"))
+    cards, tasks = (spark.read.parquet(str(tmp_path / x)) for x in ("cards", "tasks"))
+    made = C.undeclared_bindings(C.card_rows(cards, "case", "card"), C.schema_paths(tasks, "case", "schema"))
+    want = [("2", "u", "/n")] + [(k, *x) for k in ("3", "4", None) for x in (("t", "/l/2/s"), ("u", "/n"))]
+    assert sorted(made.select("case", "id", "path").collect(), key=str) == sorted(want, key=str)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
